@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import written
 from .bpe import bpe_encode
 from .exact_dedup import exact_dedup
+from . import langid
 from .line_dedup import line_dedup
 from .packing import best_fit_packing, token_pieces
+from .topk import exact_top_k
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +36,21 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def remainder() -> Column:
+    """crc32 of the decimal id, modulo 4: 2 is held out. Rows without an id aren't held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4, F.lit(0).cast("long"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    coder = langid.train(docs.filter(remainder() != 2))
+    return langid.identify(docs.select("doc_id", "text"), coder).select("doc_id", (remainder() == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -47,6 +64,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op2_line_dedup": op2_line_dedup,
+        "op3_language_id": op3_language_id,
+        "op4_exact_top_k": op4_exact_top_k,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_packing": op9_packing,
     }
@@ -64,6 +83,15 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE
 FROM keyed k LEFT JOIN frequent f ON k.key = f.key GROUP BY r
 """
 
+_OP4 = """
+WITH t AS (SELECT vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x AS double)) AS bigint)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, cast(list_sum(list_transform(range(1, len(c.v) + 1), i -> c.v[i] * q.v[i])) AS bigint) AS score
+      FROM t q JOIN t c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, cast(rank AS integer) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
 _OP8 = """
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS body FROM documents),
 g AS (SELECT doc_id, body, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size FROM t)
@@ -72,4 +100,4 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS te
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": _OP2, "op8_exact_dedup": _OP8}
+    return {"op2_line_dedup": _OP2, "op4_exact_top_k": _OP4, "op8_exact_dedup": _OP8}
