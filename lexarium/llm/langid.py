@@ -8,8 +8,8 @@ n-grams, which add up over words, so each distinct word is looked at once.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -43,26 +43,34 @@ def codewords(languages: int, seed: int = 7) -> np.ndarray:
     return best
 
 
-def letters_only(chunk: str) -> list[str]:
-    """The runs of letters of a chunk."""
-    return [chunk] if chunk.isalpha() else "".join([c if c.isalpha() else " " for c in chunk]).split()
-
-
-def _hash(gram: str) -> int:
-    h = 2166136261
-    for c in gram:
-        h = (h ^ ord(c)) * 16777619 & 0xFFFFFFFF
-    return (h ^ h >> 15) & (BUCKETS - 1)
-
-
-def grams(chunk: str) -> list[int]:
-    """The n-grams of a lower-case chunk."""
-    out = []
-    for word in letters_only(chunk):
-        w = f"<{word}>"
-        for n in range(1, LONGEST + 1):
-            out += [_hash(w[i : i + n]) for i in range(len(w) - n + 1)]
-    return out
+@cache
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000)
+
+
+def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed n-grams of a lower-case text and where each begins; all that is no letter counts as a word edge."""
+    codes = np.frombuffer((" " + text + " ").encode("utf-32-le", "surrogatepass"), "<u4")
+    letter = _letters()[codes]
+    codes = np.where(letter, codes, 32).astype(np.uint32)
+    n = len(codes)
+    hashes, starts = [], []
+    rolling = np.full(n, 2166136261, np.uint32)
+    inner = np.ones(n, bool)  # all letters between the first and the last of the window
+    for length in range(1, LONGEST + 1):
+        last = n - length + 1
+        if last <= 0:
+            break
+        rolling = (rolling[:last] ^ codes[length - 1 :]) * np.uint32(16777619)
+        if length > 2:
+            inner = inner[:last] & letter[length - 2 : n - 1]
+        fits = letter[:last] | letter[length - 1 :] if length <= 2 else inner[:last]
+        at = np.flatnonzero(fits)
+        h = rolling[at]
+        hashes.append((h ^ h >> np.uint32(15)) & np.uint32(BUCKETS - 1))
+        starts.append(at)
+    return np.concatenate(hashes).astype(np.int64), np.concatenate(starts)
 
 
 class Coder:
@@ -81,28 +89,18 @@ class Coder:
             return cls([], code, np.zeros((BUCKETS, 1), np.float32), 1.0)
         sums = np.zeros((len(languages), BUCKETS))
         docs = []
-        known: dict[str, list[int]] = {}
         for text, lang in examples:
-            counts: Counter = Counter()
-            for chunk, times in Counter(text.lower().split()).items():
-                found = known.get(chunk)
-                if found is None:
-                    found = known[chunk] = grams(chunk)
-                for g in found:
-                    counts[g] += times
-            if not counts:
-                continue
-            at, value = np.array(list(counts)), np.array(list(counts.values()), float)
-            value /= value.sum()
-            sums[languages.index(lang), at] += value
-            docs.append((at, value, languages.index(lang)))
+            found, _ = grams(text.lower())
+            if len(found):
+                sums[languages.index(lang)] += np.bincount(found, minlength=BUCKETS) / len(found)
+                docs.append((found, languages.index(lang)))
         rates = (sums + 1e-7) / (sums.sum(1, keepdims=True) + 1e-7 * BUCKETS)
         weights = np.zeros((BUCKETS, code.shape[1]), np.float32)
         for b in range(code.shape[1]):
             one, other = rates[code[:, b] > 0], rates[code[:, b] < 0]
             if len(one) and len(other):
                 weights[:, b] = np.clip(np.log(one.mean(0)) - np.log(other.mean(0)), -4, 4)
-        margins = np.array([value @ weights[at] for at, value, _ in docs]) * np.array([code[y] for *_, y in docs])
+        margins = np.array([weights[found].mean(0) * code[y] for found, y in docs])
         # A document's margin is sharpened so that a typical one decides its bit clearly.
         scale = 4 / max(1e-6, float(np.median(margins))) if margins.size else 1.0
         return cls(languages, code, weights, scale)
@@ -128,21 +126,27 @@ class Scorer:
         self.rows: dict[str, int] = {}
         self.table = np.zeros((4096, self.coder.code.shape[1] + 1), np.float32)
 
-    def _learn(self, chunks: Iterable[str]) -> None:
-        weights = self.coder.weights
-        for chunk in chunks:
-            row = self.rows[chunk] = len(self.rows)
-            if row >= len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            if found := grams(chunk):
-                self.table[row, :-1], self.table[row, -1] = weights[found].sum(0), len(found)
+    def _learn(self, chunks: list[str]) -> None:
+        """The sums of the weights of each new chunk's n-grams, and their number; a space parts the chunks."""
+        if not chunks:
+            return
+        first, n, bits = len(self.rows), len(chunks), self.table.shape[1] - 1
+        while first + n > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.rows.update(zip(chunks, range(first, first + n), strict=True))
+        found, starts = grams(" ".join(chunks))
+        ends = np.cumsum([len(c) + 1 for c in chunks])
+        owner = np.minimum(np.searchsorted(ends, starts, "right"), n - 1)  # grams from an edge belong to the chunk after it
+        for b in range(bits):
+            self.table[first : first + n, b] = np.bincount(owner, self.coder.weights[found, b], n)
+        self.table[first : first + n, -1] = np.bincount(owner, minlength=n)
 
     def margins(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The mean margins and the number of n-grams of each text."""
         if len(self.rows) > TABLE_WORDS:
             self.clear()
         split = [t.lower().split() for t in texts]
-        self._learn(set().union(*split) - self.rows.keys())
+        self._learn(sorted(set().union(*split) - self.rows.keys()))
         rows = self.rows
         sums = np.array([self.table[[rows[c] for c in chunks]].sum(0, dtype=np.float64) if chunks else np.zeros(self.table.shape[1]) for chunks in split])
         return sums[:, :-1] / np.maximum(1, sums[:, -1:]), sums[:, -1]
