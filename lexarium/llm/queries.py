@@ -13,6 +13,7 @@ from .exact_dedup import exact_dedup
 from . import langid
 from .line_dedup import line_dedup
 from .packing import best_fit_packing, token_pieces
+from .pii import KINDS, disclosing_terms, find_pii
 from .topk import exact_top_k
 
 
@@ -51,6 +52,16 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_pii(docs, disclosing_terms(docs), with_text=False)
+    base = F.filter("pii", lambda x: x["kind"] != "term")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    number = lambda kind: F.size(F.filter("pii", lambda x: x["kind"] == kind)).cast("long")
+    counts = [number(kind).alias(f"n_{kind}") for kind in KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -66,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_dedup": op2_line_dedup,
         "op3_language_id": op3_language_id,
         "op4_exact_top_k": op4_exact_top_k,
+        "op5_pii": op5_pii,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_packing": op9_packing,
     }
@@ -84,9 +96,9 @@ FROM keyed k LEFT JOIN frequent f ON k.key = f.key GROUP BY r
 """
 
 _OP4 = """
-WITH t AS (SELECT vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x AS double)) AS bigint)) AS v FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, cast(list_sum(list_transform(range(1, len(c.v) + 1), i -> c.v[i] * q.v[i])) AS bigint) AS score
+WITH t AS (SELECT vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x AS double)) AS bigint)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, cast(list_sum(list_transform(range(1, len(c.v) + 1), lambda i: c.v[i] * q.v[i])) AS bigint) AS score
       FROM t q JOIN t c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
 SELECT query_id, cast(rank AS integer) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
