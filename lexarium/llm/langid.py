@@ -146,7 +146,7 @@ class Scorer:
         if len(self.rows) > TABLE_WORDS:
             self.clear()
         split = [t.lower().split() for t in texts]
-        self._learn(sorted(set().union(*split) - self.rows.keys()))
+        self._learn(sorted(set().union(*split).difference(self.rows)))
         rows = self.rows
         sums = np.array([self.table[[rows[c] for c in chunks]].sum(0, dtype=np.float64) if chunks else np.zeros(self.table.shape[1]) for chunks in split])
         return sums[:, :-1] / np.maximum(1, sums[:, -1:]), sums[:, -1]
