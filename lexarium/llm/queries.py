@@ -12,6 +12,7 @@ from .bpe import bpe_encode
 from .exact_dedup import exact_dedup
 from . import langid, toxicity
 from .line_dedup import line_dedup
+from .ngram_join import ngram_components
 from .packing import best_fit_packing, token_pieces
 from .pii import KINDS, disclosing_terms, find_pii
 from .topk import exact_top_k
@@ -62,6 +63,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(_table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs.filter(remainder() != 2), _table(spark, sf_dir, "labels").filter(remainder() != 2))
@@ -84,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_id": op3_language_id,
         "op4_exact_top_k": op4_exact_top_k,
         "op5_pii": op5_pii,
+        "op6_ngram_join": op6_ngram_join,
         "op7_toxicity": op7_toxicity,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_packing": op9_packing,
