@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ._shared import written
 from .bpe import bpe_encode
 from .exact_dedup import exact_dedup
+from .html_extract import extract_text
 from . import langid, toxicity
 from .line_dedup import line_dedup
 from .ngram_join import ngram_components
@@ -82,6 +83,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(pieces)
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -93,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_toxicity": op7_toxicity,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_packing": op9_packing,
+        "op10_html_extraction": op10_html_extraction,
     }
 
 
