@@ -393,6 +393,8 @@ class Generator:
 
     def page(self) -> str:
         r = self.r
+        if r.random() < 0.04:  # a bare text
+            return r.choice(["<html><body>{}</body></html>", "{}"]).format("".join(r.choice(["<p>{}</p>", "<p>{}"]).format(MARK + self.inline(self.sentences(1, 6))) for _ in range(r.randint(1, 5))) if r.random() < 0.7 else MARK + self.sentences(1, 6))
         before = [self.noise(k) for k, p in (("notice", 0.2), ("header", 0.5), ("nav", 0.8), ("ad", 0.5), ("form", 0.15)) if r.random() < p]
         after = [self.noise(k) for k, p in (("share", 0.2), ("aside", 0.4), ("comments", 0.4), ("form", 0.2), ("ad", 0.25), ("nav", 0.1), ("footer", 0.85), ("notice", 0.15)) if r.random() < p]
         if r.random() < 0.3:

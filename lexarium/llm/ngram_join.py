@@ -13,6 +13,7 @@ anchors and their own members, and only what then stands apart from the family's
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
@@ -75,6 +76,7 @@ class Sizes:
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
         self.bounds = [1]
+        self._blocks: dict[int, int] = {}
         self.light = self._boundary()
 
     def shared(self, n: int, m: int) -> int:
@@ -91,15 +93,16 @@ class Sizes:
         """The number of the interval of sizes that holds n; a set's partners are in its own, the next or the one before."""
         while self.bounds[-1] <= n:
             self.bounds.append(self.most(self.bounds[-1]) + 1)
-        return int(np.searchsorted(self.bounds, n, "right")) - 1
+        return bisect_right(self.bounds, n) - 1
 
     def blocks(self, j: int) -> int:
         """One block more than linked sets can differ in whose smaller one is in interval j, and SPARE more."""
-        self.interval(self.bounds[-1])
-        while len(self.bounds) < j + 2:
-            self.interval(self.bounds[-1])
-        n = self.bounds[j + 1] - 1
-        return max(n + m - 2 * self.shared(n, m) for m in (n, self.most(n))) + 2 + SPARE
+        if j not in self._blocks:
+            while len(self.bounds) < j + 2:
+                self.interval(self.bounds[-1])
+            n = self.bounds[j + 1] - 1
+            self._blocks[j] = max(n + m - 2 * self.shared(n, m) for m in (n, self.most(n))) + 2 + SPARE
+        return self._blocks[j]
 
     def subset_rows(self, n: int) -> int:
         """How many subsets a light set of n emits."""
