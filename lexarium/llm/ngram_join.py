@@ -101,7 +101,8 @@ class Sizes:
             while len(self.bounds) < j + 2:
                 self.interval(self.bounds[-1])
             n = self.bounds[j + 1] - 1
-            self._blocks[j] = max(n + m - 2 * self.shared(n, m) for m in (n, self.most(n))) + 2 + SPARE
+            # n + m - 2 * shared(n, m) is at most (n + m) * (den - num) / (den + num)
+            self._blocks[j] = (n + self.most(n)) * (self.den - self.num) // (self.den + self.num) + 1 + SPARE
         return self._blocks[j]
 
     def subset_rows(self, n: int) -> int:
