@@ -289,7 +289,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAINING_ROWS, id
     below = F.when(F.col("y") == 1, F.lit(share.get(1, 0.0))).otherwise(F.lit(share.get(0, 0.0))) * 1_000_000
     drawn = marks.filter(F.pmod(F.xxhash64("i", F.lit("toxicity")), F.lit(1_000_000)) < below)
     texts = docs.select(F.col(id_column).alias("i"), F.col(text_column).alias("text")).filter("text IS NOT NULL")
-    rows = [(r.text, r.y) for r in texts.join(drawn, "i").select("text", "y").toLocalIterator()]
+    # At most about twice per_class ids are drawn, whatever the size of the tables: broadcast, and no text is shuffled.
+    rows = [(r.text, r.y) for r in texts.join(F.broadcast(drawn), "i").select("text", "y").toLocalIterator()]
     return ToxicityModel.trained(rows, (1 / share.get(0, 1.0), 1 / share.get(1, 1.0)))
 
 
