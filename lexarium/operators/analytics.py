@@ -65,7 +65,7 @@ def grouped_metrics(judgments: DataFrame, dimension: str, bridges: dict[str, Dat
     df = judgments
     if dimension in bridges:
         df = df.join(bridges[dimension], F.col("id") == F.col("judgment_id"))
-    key = {"court": F.col("court"), "year": F.year("judgment_date"), "area": F.col("area"), "judge": F.col("judge_id")}[dimension] if dimension != "area" and dimension != "judge" else F.col("area" if dimension == "area" else "judge_id")
+    key = F.year("judgment_date") if dimension == "year" else F.col({"court": "court", "area": "area", "judge": "judge_id"}[dimension])
     return df.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"), F.avg("word_count").alias("avg_words"), F.avg("relevance_score").alias("avg_relevance"))
 
 
@@ -73,7 +73,7 @@ def monthly(df: DataFrame, group: str, day: str = "judgment_date") -> DataFrame:
     """Rows by group and month on a gapless axis from the group's first to its last month, both included."""
     month = F.trunc(day, "MM")
     counts = df.groupBy(group, month.alias("month")).agg(F.count(F.lit(1)).alias("n"))
-    axis = counts.groupBy(group).agg(F.min("month").alias("a"), F.max("month").alias("b")).select(group, F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).cast("date").alias("month"))
+    axis = counts.groupBy(group).agg(F.min("month").alias("a"), F.max("month").alias("b")).select(group, F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("month"))
     return axis.join(counts, [group, "month"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 

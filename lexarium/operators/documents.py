@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectorised import vectorised
 from ..functions.text import c
 
 # Citations looked for in documents, and judges named in a preface.
@@ -71,7 +72,7 @@ def sections_of(root: ET.Element) -> list[dict]:
     return out
 
 
-@F.pandas_udf("error string, neutral_citation string, court string, date string, judges array<string>, case_name string, uri string, keywords array<string>")
+@vectorised("error string, neutral_citation string, court string, date string, judges array<string>, case_name string, uri string, keywords array<string>")
 def metadata(xml_text: pd.Series) -> pd.DataFrame:
     """The header of a document, or what was wrong with it."""
     columns = ["error", "neutral_citation", "court", "date", "judges", "case_name", "uri", "keywords"]
@@ -79,7 +80,7 @@ def metadata(xml_text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([{"error": "not well-formed"} if r is None else {"error": None} | metadata_of(r) for r in parsed], columns=columns)
 
 
-@F.pandas_udf("array<struct<type:string,title:string,content:string,paragraphs:array<struct<paragraph_id:string,content:string,word_count:int>>>>")
+@vectorised("array<struct<type:string,title:string,content:string,paragraphs:array<struct<paragraph_id:string,content:string,word_count:int>>>>")
 def sections(xml_text: pd.Series) -> pd.Series:
     return pd.Series([[] if (r := _parsed(t)) is None else sections_of(r) for t in xml_text], dtype=object)
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectorised import vectorised
 from ..functions.citations import LAW_REPORT, NEUTRAL
 
 # Patterns of case names, statutes, European cases and judges; all ignore case.
@@ -22,7 +23,7 @@ CONFIDENCE = {"neutral": 0.95, "law_report": 0.90, "european": 0.85}
 
 
 def _applied(find: Callable[[str], list], schema: str) -> Callable[[Column | str], Column]:
-    @F.pandas_udf(schema)
+    @vectorised(schema)
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([find(t) if t else [] for t in texts], dtype=object)
 
@@ -74,7 +75,7 @@ def gzip_sizes(column: Column | str) -> Column:
     """Bytes of the gzip-compressed text."""
     import gzip
 
-    @F.pandas_udf("int")
+    @vectorised("int")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
             yield pd.Series([None if t is None else len(gzip.compress(t.encode(), mtime=0)) for t in texts], dtype="Int32")

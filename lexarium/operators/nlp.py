@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectorised import vectorised
 from ..functions.citations import looked_up
 from ..functions.text import c, sentences
 
@@ -104,7 +105,7 @@ def scan_phrases(tokens: list[str], classes: list[str]) -> list[tuple[str, str]]
     return out
 
 
-@F.pandas_udf("array<struct<kind:string,text:string>>")
+@vectorised("array<struct<kind:string,text:string>>")
 def _phrases(tokens: pd.Series, classes: pd.Series) -> pd.Series:
     return pd.Series([[{"kind": k, "text": t} for k, t in scan_phrases(list(a), list(b))] for a, b in zip(tokens, classes, strict=True)], dtype=object)
 
@@ -128,6 +129,6 @@ def find_entities(text: str) -> list[dict]:
     return [{"kind": kind, "text": m[0], "start": m.start(), "end": m.end()} for kind, patterns in (("case_name", CASE_NAMES), ("statute", STATUTES)) for p in patterns for m in re.finditer(p, text)]
 
 
-@F.pandas_udf("array<struct<kind:string,text:string,start:int,end:int>>")
+@vectorised("array<struct<kind:string,text:string,start:int,end:int>>")
 def entities(texts: pd.Series) -> pd.Series:
     return pd.Series([find_entities(t) if t else [] for t in texts], dtype=object)
