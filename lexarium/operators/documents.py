@@ -77,7 +77,7 @@ def metadata(xml_text: pd.Series) -> pd.DataFrame:
     """The header of a document, or what was wrong with it."""
     columns = ["error", "neutral_citation", "court", "date", "judges", "case_name", "uri", "keywords"]
     parsed = [_parsed(t) for t in xml_text]
-    return pd.DataFrame([{"error": "not well-formed"} if r is None else {"error": None} | metadata_of(r) for r in parsed], columns=columns)
+    return pd.DataFrame([dict.fromkeys(columns) | ({"error": "not well-formed"} if r is None else metadata_of(r)) for r in parsed], columns=columns, dtype=object)
 
 
 @vectorised("array<struct<type:string,title:string,content:string,paragraphs:array<struct<paragraph_id:string,content:string,word_count:int>>>>")

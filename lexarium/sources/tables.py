@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CASES = T.StructType.fromDDL("case_name string, citation string, neutral_citation string, judgment_date date, court string, judges array<string>, legal_area string, significance string")
+_STRINGS = T.ArrayType(T.StringType())
+CASES = T.StructType()
+for _name, _type in (("case_name", "string"), ("citation", "string"), ("neutral_citation", "string"), ("judgment_date", "date"), ("court", "string"), ("judges", _STRINGS), ("legal_area", "string"), ("significance", "string")):
+    CASES = CASES.add(_name, _type)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
