@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 TRAINING_ROWS = 1500
 #: Hashed n-grams of 1 to 4 letters, word edges included.
 BUCKETS, LONGEST = 1 << 17, 4
+#: Training texts, and n-grams of one, from which the scale of margins is taken.
+SCALE_ROWS, SCALE_GRAMS = 400, 20_000
 #: Words in a worker's table of margins.
 TABLE_WORDS = 1 << 19
 UNDETERMINED = "und"
@@ -93,7 +95,8 @@ class Coder:
             found, _ = grams(text.lower())
             if len(found):
                 sums[languages.index(lang)] += np.bincount(found, minlength=BUCKETS) / len(found)
-                docs.append((found, languages.index(lang)))
+                if len(docs) < SCALE_ROWS:
+                    docs.append((found[:SCALE_GRAMS].astype(np.int32), languages.index(lang)))
         rates = (sums + 1e-7) / (sums.sum(1, keepdims=True) + 1e-7 * BUCKETS)
         weights = np.zeros((BUCKETS, code.shape[1]), np.float32)
         for b in range(code.shape[1]):
