@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Candidates and queries of one cell, and candidates whose lists are read together.
 BLOCK_CANDIDATES, BLOCK_QUERIES, RUN = 4096, 512, 1024
 #: Parts of the lists after which bounds are compared.
-DEPTHS = (0.25, 0.45, 0.65, 0.85)
+DEPTHS = (0.55, 0.8)
 
 
 class SortedLists:
@@ -25,33 +25,36 @@ class SortedLists:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors, self.lists = ids, vectors, np.sort(vectors, axis=0)
+        self.every, self.ones = np.arange(len(ids)), np.ones(vectors.shape[1], vectors.dtype)
 
     def top(self, query: np.ndarray, k: int, own: int, best: list[tuple[int, int]]) -> list[tuple[int, int]]:
         """The k best (-score, id) among best and the run's candidates other than own."""
-        n, up = len(self.ids), query > 0
-        worst = np.where(up, self.lists[0], self.lists[-1]) * query
-        alive = np.flatnonzero(self.ids != own)
+        n, up, ones = len(self.ids), query > 0, self.ones
         least = -best[k - 1][0] if len(best) >= k else None
-        parts = self.vectors[alive] * query
+        alive = self.every if not (self.ids == own).any() else np.flatnonzero(self.ids != own)
+        parts = (self.vectors if alive is self.every else self.vectors[alive]) * query
+        worst = np.where(up, self.lists[0], self.lists[-1]) * query if least is None else None
         for depth in DEPTHS:
-            at = min(n - 1, int(depth * n))
-            frontier = np.where(up, self.lists[n - 1 - at], self.lists[at]) * query
-            if least is None or len(alive) > k:
-                if len(alive) >= k:
-                    lower = np.where(parts >= frontier, parts, worst).sum(1)
-                    reached = int(np.partition(lower, len(lower) - k)[len(lower) - k])
-                    least = reached if least is None else max(least, reached)
-                if least is not None:
-                    stay = np.maximum(parts, frontier).sum(1) >= least
-                    if not stay.all():
-                        alive, parts = alive[stay], parts[stay]
             if not len(alive):
                 return best
-        scores = parts.sum(1)
+            if least is not None and len(alive) <= k:
+                break
+            at = min(n - 1, int(depth * n))
+            frontier = np.where(up, self.lists[n - 1 - at], self.lists[at]) * query
+            if worst is not None and len(alive) >= k:  # no k-th best is known yet from other runs
+                lower = np.where(parts >= frontier, parts, worst) @ ones
+                reached = np.partition(lower, len(lower) - k)[len(lower) - k]
+                least = reached if least is None else max(least, reached)
+            if least is not None:
+                stay = np.maximum(parts, frontier) @ ones >= least
+                if not stay.all():
+                    alive, parts = alive[stay], parts[stay]
+        scores = parts @ ones
         if least is not None:
             stay = scores >= least
             alive, scores = alive[stay], scores[stay]
-        return sorted([*best, *zip((-scores).tolist(), self.ids[alive].tolist(), strict=True)])[:k]
+        found = zip((-scores).astype(np.int64).tolist(), self.ids[alive].tolist(), strict=True)
+        return sorted([*best, *found])[:k]
 
 
 def _matrix(lists: list, width: int) -> np.ndarray:
@@ -88,8 +91,10 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 2
         asked_ids, asked_vectors = right.column("vec_id").to_pylist(), right.column("v").to_pylist()
         width = max([0, *map(len, found), *map(len, asked_vectors)])
         x, q = _matrix(found, width), _matrix(asked_vectors, width)
-        if x.size and q.size and float(np.abs(x).max()) * float(np.abs(q).max()) * width < 2**31:
-            x, q = x.astype(np.int32), q.astype(np.int32)
+        # Whole numbers below 2^24 (2^53) are exact in 32-bit (64-bit) floating point, whose sums are faster.
+        most = float(np.abs(x).max()) * float(np.abs(q).max()) * width if x.size and q.size else 0.0
+        kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
+        x, q = x.astype(kind), q.astype(kind)
         order = np.argsort(ids, kind="stable")
         runs = [SortedLists(ids[p], x[p]) for p in (order[i : i + RUN] for i in range(0, len(order), RUN))]
         rows: list[tuple[int, int, int]] = []
