@@ -11,9 +11,10 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import chain
+from itertools import accumulate, chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -23,9 +24,9 @@ SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Words of a word-level tokenizer; the pattern of the public CLIP-style vocabularies, stated in their files.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
 #: Entries kept in one generation of a cache of encodings; bounds a worker's memory.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 350_000
 #: Rows of a block that are encoded together.
-BLOCK_ROWS = 512
+BLOCK_ROWS = 1024
 
 
 @cache
@@ -44,6 +45,12 @@ class TrieEncoder:
         self.ranks = {pair: i for i, pair in enumerate(merges)}
         self.longest = max(len(t.removesuffix(word_end) if word_end else t) for t in vocabulary)
         self._follows: dict[tuple[str, str], bool] = {}
+        # The length of the longest token (without its end mark) for each ending of two letters and the mark.
+        self.by_tail: dict[str, int] = {}
+        for t in vocabulary:
+            end = word_end if word_end and t.endswith(word_end) and len(t) > len(word_end) else ""
+            core = t[: len(t) - len(end)]
+            self.by_tail[core[-2:] + end] = max(len(core), self.by_tail.get(core[-2:] + end, 0))
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Plain BPE: the merge of lowest rank first, the leftmost of equals."""
@@ -74,11 +81,17 @@ class TrieEncoder:
 
     def _last(self, prefix: str, end: str, states: list[str]) -> str:
         """The last token of a prefix (with end appended to it), from the states of the shorter prefixes."""
-        n, vocabulary = len(prefix), self.vocabulary
-        for start in range(max(0, n - self.longest), n):
+        n, vocabulary, follows = len(prefix), self.vocabulary, self._follows
+        # No token that ends like the prefix is longer than this.
+        longest = self.by_tail.get(prefix[-2:] + end, 1)
+        for start in range(max(0, n - longest), n):
             token = prefix[start:] + end
-            if token in vocabulary and (not start or self.follows(states[start], token)):
-                return token
+            if token in vocabulary:
+                if not start:
+                    return token
+                known = follows.get((states[start], token))
+                if self.follows(states[start], token) if known is None else known:
+                    return token
         raise ValueError(f"no token ends {prefix!r}: the vocabulary lacks a byte")
 
     def encode(self, words: Iterable[str]) -> dict[str, list[str]]:
@@ -124,6 +137,7 @@ class WordTokenizer:
         self.spaces = regex.compile(r"\p{White_Space}+").split
         self.new: dict[str, tuple[bytes, str]] = {}
         self.old: dict[str, tuple[bytes, str]] = {}
+        self.known: dict[str | int, tuple[bytes, str]] = {}
 
     def chunks(self, text: str) -> list[str]:
         """What stands between white space: no token crosses it."""
@@ -140,32 +154,48 @@ class WordTokenizer:
         if not chunk.isascii():
             chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")  # each letter alone: no final sigma
         chunk = chunk.lower()
-        words = [chunk] if chunk.isalpha() else self.words(chunk)
+        words = [chunk] if chunk.isalpha() else self._split(chunk)
         if chunk.isascii() and chunk.isprintable():
             return words
         letters = byte_letters()
         return [w if w.isascii() and w.isprintable() else "".join([letters[b] for b in w.encode()]) for w in words]
 
+    def _split(self, chunk: str) -> list[str]:
+        """Words by the pattern; beyond U+2FA1F by the standard library's classes, since the pattern's take unassigned code points for letters."""
+        if max(chunk) < "\U0002fa20":
+            return self.words(chunk)
+        plain = "".join([c if c < "\U0002fa20" else "a" if c.isalpha() else "1" if unicodedata.category(c)[0] == "N" else "!" for c in chunk])
+        ends = list(accumulate(map(len, self.words(plain))))
+        return [chunk[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
     def decode(self, ids: Iterable[int]) -> str:
         """The file names no decoder: tokens joined by one space."""
         return " ".join([self.names[i] for i in ids])
 
-    def learn(self, chunks: Iterable[str]) -> None:
-        """Encodes the distinct chunks that are not yet known, through the trie of their words."""
-        import numpy as np
-
-        missing = {}
-        for c in chunks:
-            if c not in self.new:
-                if c in self.old:
-                    self.new[c] = self.old[c]
-                else:
-                    missing[c] = self._words(c)
-        encoded = self.encoder.encode(w for words in missing.values() for w in words if isinstance(w, str))
-        ids = {w: [self.vocabulary[t] for t in tokens] for w, tokens in encoded.items()}
-        for c, words in missing.items():
-            found = [i for w in words for i in ([w] if isinstance(w, int) else ids[w])]
-            self.new[c] = (np.array(found, "<i4").tobytes(), self.decode(found))
+    def learn(self, chunks: set[str]) -> None:
+        """Encodes the distinct chunks that are not yet known, through the trie of those of their words that aren't either."""
+        missing: dict[str, list[str | int]] = {}
+        new, old, known = self.new, self.old, self.known
+        for c in chunks.difference(new):
+            if c in old:
+                new[c] = old[c]
+            else:
+                missing[c] = self._words(c)
+        if len(known) > 2 * CACHE_ENTRIES:
+            known.clear()
+        words = {w for ws in missing.values() for w in ws}.difference(known)
+        vocabulary = self.vocabulary
+        for w, tokens in self.encoder.encode([w for w in words if isinstance(w, str)]).items():
+            known[w] = (array("i", [vocabulary[t] for t in tokens]).tobytes(), " ".join(tokens))
+        for i in words:
+            if isinstance(i, int):
+                known[i] = (array("i", [i]).tobytes(), self.names[i])
+        for c, ws in missing.items():
+            if len(ws) == 1:
+                new[c] = known[ws[0]]
+            else:
+                found = [known[w] for w in ws]
+                new[c] = (b"".join([f[0] for f in found]), " ".join([f[1] for f in found]))
 
     def block(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
         """The ids (little-endian 32-bit) and the decoded text of each text."""
@@ -173,12 +203,16 @@ class WordTokenizer:
             self.old, self.new = self.new, {}
         split = [self.chunks(t) for t in texts]
         self.learn(set().union(*split))
-        cache = self.new
+        look_up = self.new.__getitem__
         ids, decoded = [], []
         for chunks in split:
-            found = [cache[c] for c in chunks]
-            ids.append(b"".join([f[0] for f in found]))
-            decoded.append(" ".join([f[1] for f in found if f[0]]))
+            if chunks:
+                i, d = zip(*map(look_up, chunks), strict=True)
+                ids.append(b"".join(i))
+                decoded.append(" ".join(d))
+            else:
+                ids.append(b"")
+                decoded.append("")
         return ids, decoded
 
 
