@@ -41,8 +41,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group that five-word shingles link at a similarity of 0.8 or more."""
     found = ngram_components(docs, n=5, similarity=(80, 100))
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs all tokens into sequences of at most 2048."""
-    return best_fit_packing(written(token_pieces(docs, tokenizer_path("byte_bpe_50k.json")), "pieces"))
+    return best_fit_packing(token_pieces(docs, tokenizer_path("byte_bpe_50k.json")))
 
 
 STAGES = [("language_id", language), ("line_dedup", lines), ("near_duplicates", near_duplicates), ("pii", personal_data), ("packing", packing)]

@@ -161,10 +161,10 @@ class WordTokenizer:
         return [w if w.isascii() and w.isprintable() else "".join([letters[b] for b in w.encode()]) for w in words]
 
     def _split(self, chunk: str) -> list[str]:
-        """Words by the pattern; beyond U+2FA1F by the standard library's classes, since the pattern's take unassigned code points for letters."""
-        if max(chunk) < "\U0002fa20":
+        """Words by the pattern; beyond U+FFFF by the standard library's classes, since the pattern's take unassigned code points for letters."""
+        if max(chunk) < "\U00010000":
             return self.words(chunk)
-        plain = "".join([c if c < "\U0002fa20" else "a" if c.isalpha() else "1" if unicodedata.category(c)[0] == "N" else "!" for c in chunk])
+        plain = "".join([c if c < "\U00010000" else "a" if c.isalpha() else "1" if unicodedata.category(c)[0] == "N" else "!" for c in chunk])
         ends = list(accumulate(map(len, self.words(plain))))
         return [chunk[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 

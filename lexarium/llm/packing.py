@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._shared import written
 from .bpe import byte_letters
@@ -157,7 +158,9 @@ def _round(items: DataFrame, columns: list[str], size: str, capacity: int, slack
 
     An underfull bin of a block is an item of the next block of the partition, whose rows then say where it went (kind 2).
     """
-    out = items.select(*columns).schema.add("kind", "integer").add("bin", "long").add("place", "long").add("fill", "long")
+    # Rows of kinds 1 and 2 have no item: all columns are nullable.
+    fields = [T.StructField(f.name, f.dataType) for f in items.select(*columns).schema]
+    out = T.StructType(fields).add("kind", "integer").add("bin", "long").add("place", "long").add("fill", "long")
 
     def pack(batches: Iterator) -> Iterator:
         import numpy as np
@@ -212,9 +215,11 @@ def best_fit_packing(pieces: DataFrame, capacity: int = 2048, slack: int = 16, s
     repeated rows are packed each on their own; ties go by place in the partition. Columns named sequence_id and offset
     are replaced, and pieces must not have columns named kind, bin, place or fill.
     """
-    pieces = pieces.drop("sequence_id", "offset")
+    pieces = written(pieces.drop("sequence_id", "offset"), "pieces")
     columns = pieces.columns
-    packed = written(_round(pieces, columns, size_column, capacity, slack, 0), "packed", ("kind",))
+    # Enough items in a task for bins to fill up; no more tasks than that, and no shuffle.
+    items = pieces.coalesce(max(1, -(-pieces.count() // BLOCK_ITEMS)))
+    packed = written(_round(items, columns, size_column, capacity, slack, 0), "packed", ("kind",))
     placed = packed.filter("kind = 0").select(*columns, "bin", "place")
     # Chains of moves within a partition: each bin moves at most once a block.
     moves = packed.filter("kind = 2").select(F.col("fill").alias("old"), "bin", "place")

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import written
 from .bpe import bpe_encode
 from .exact_dedup import exact_dedup
 from .html_extract import extract_text
@@ -79,8 +78,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = written(token_pieces(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")), "pieces")
-    return best_fit_packing(pieces)
+    return best_fit_packing(token_pieces(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from lexarium.llm import packing
 from lexarium.llm.bpe import WordTokenizer, bpe_encode
 from lexarium.llm.packing import BestFit, ByteTokenizer, best_fit_packing, token_pieces
 
@@ -88,7 +89,13 @@ def test_packing(frame, odd, byte):
     assert packed(token_pieces(frame([]), BYTE), 128) == ([], 0)
 
 
-def test_packing_merges_partitions(spark):
+def test_packing_merges_tasks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_ITEMS", 50)
+    rows, bins = packed(spark.range(0, 400, 1, 40).selectExpr("id", "1 + id % 30 AS length"), 100)
+    assert len(rows) == 400 and bins <= 1.15 * sum(r.length for r in rows) / 100 + 1
+
+
+def test_packing_many_small_partitions(spark):
     df = spark.range(0, 400, 1, 40).selectExpr("id", "1 + id % 60 AS length")
     rows, bins = packed(df, 100)
     assert len(rows) == 400 and bins <= 1.03 * sum(r.length for r in rows) / 100 + 1
