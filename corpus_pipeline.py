@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexarium.llm import langid
-from lexarium.llm._shared import written
+from lexarium.llm._shared import small, written
 from lexarium.llm.line_dedup import line_dedup
 from lexarium.llm.ngram_join import ngram_components
 from lexarium.llm.packing import best_fit_packing, token_pieces
@@ -41,8 +41,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group that five-word shingles link at a similarity of 0.8 or more."""
     found = ngram_components(docs, n=5, similarity=(80, 100))
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    gone = written(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct(), "near-duplicates-gone")
+    # Few dropped ids are broadcast, so that no text is shuffled; beyond that Spark joins by shuffling.
+    gone = F.broadcast(gone) if small(gone) else gone
+    return docs.select(*COLUMNS).join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

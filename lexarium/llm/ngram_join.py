@@ -178,7 +178,10 @@ def _lists(docs: DataFrame, text_column: str, n: int, num: int, den: int) -> Dat
             head = owner[first][np.cumsum(first) - 1]
             apart = np.unique(np.column_stack([head, owner])[head != owner], axis=0)
             link = mix(apart[:, 0].astype(np.uint64) * _MIX[3] + apart[:, 1].astype(np.uint64)).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([every[first], link, link])), pa.array(np.concatenate([owner[first], apart[:, 0], apart[:, 1]]))], names=["list", "member"])
+            # In order of members, so that equal ones stand together and the shuffle compresses them.
+            by_member = np.argsort(owner[first], kind="stable")
+            heads, holders = every[first][by_member], owner[first][by_member]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([heads, link, link])), pa.array(np.concatenate([holders, apart[:, 0], apart[:, 1]]))], names=["list", "member"])
 
         gathered = 0
         for batch in batches:
