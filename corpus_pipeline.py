@@ -33,9 +33,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes lines found in ten documents or more out of all; a document that loses all its text goes."""
-    kept = line_dedup(docs.select(*COLUMNS))
-    return _counted(kept.filter((F.col("n_dropped") == 0) | (F.col("text") != "")))
+    """Takes lines found in ten documents or more out of all. Documents of nothing but such lines, as those with ten copies
+    or more are, stay whole: the next stage keeps one of them."""
+    return _counted(line_dedup(docs.select(*COLUMNS), keep_emptied=True))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -117,13 +117,15 @@ def line_dedup(
     batches: int = 4,
     fanout: int = 2,
     broadcast_rows: int = BROADCAST_ROWS,
+    keep_emptied: bool = False,
 ) -> DataFrame:
     """docs with text replaced by what remains, and n_lines and n_dropped (long) added (columns of these names are replaced).
 
     A text is split at line feeds; null or empty is one empty line. Lines whose key (ASCII white space stripped at both
     ends, A-Z lower-cased, at least min_chars code points) is in at least min_documents rows go from every document; the
     others stay, joined by line feeds. A text that loses no line is unchanged, but null becomes empty. Rows that repeat
-    an id count as documents of their own. An empty table gives no rows.
+    an id count as documents of their own. An empty table gives no rows. With keep_emptied a document that would lose
+    every line loses none: it is one of many copies of a whole text, which is no boilerplate.
     """
     frequent = frequent_lines(docs, min_documents, min_chars, text_column, batches, fanout)
     keyed = docs.select("*", *row_keys(id_column, text_column))
@@ -137,6 +139,9 @@ def line_dedup(
     all_lines = F.split(text_of(text_column), "\n")
     stay = F.array_join(F.filter(all_lines, lambda line, i: ~F.coalesce(F.get("_gone", i), F.lit(False))), "\n")
     joined = keyed.join(drops, ROW, "left")
+    if keep_emptied:
+        emptied = F.col("_n") == F.size(all_lines)
+        joined = joined.withColumns({c: F.when(~emptied, F.col(c)) for c in ("_gone", "_n")})
     out = joined.withColumns({
         "_kept": F.when(F.col("_gone").isNull(), text_of(text_column)).otherwise(stay),
         "_lines": F.size(all_lines).cast("long"),

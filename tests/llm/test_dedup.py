@@ -75,6 +75,12 @@ def test_line_dedup_shuffled_hashes_and_short_keys(frame):
     assert found(line_dedup(frame(rows), 2, 3, broadcast_rows=1, batches=7).select("doc_id", "text", "n_lines", "n_dropped")) == model(rows, 2, 3)
 
 
+def test_line_dedup_keeps_whole_copies(frame):
+    rows = [(i, "all\nof it") for i in range(12)] + [(20, "all\nelse"), (21, None), (22, "all")]
+    kept = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup(frame(rows), 10, keep_emptied=True).collect()}
+    assert kept[3] == ("all\nof it", 0) and kept[20] == ("else", 1) and kept[21] == ("", 0) and kept[22] == ("all", 0)
+
+
 def test_line_dedup_empty_and_clashing_columns(frame):
     assert line_dedup(frame([])).count() == 0
     df = frame([(1, "a", 5, "x")], "doc_id long, text string, n_lines int, h1 string")
