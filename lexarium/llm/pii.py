@@ -1,18 +1,19 @@
 """Personal data: base patterns, and information-theoretic sanitisation of the terms that reveal an entity.
 
 A protected entity is a value that a base pattern finds. Over the corpus, the words around the entity's distinct
-contexts and the words' counts everywhere give how strongly a term reveals it: the pointwise mutual information as a
-share of the entity's own information. Terms above the disclosure threshold become spans of kind `term` wherever they
+contexts and the words' distinct occurrences everywhere give how strongly a term reveals it: the smoothed pointwise
+mutual information as a share of the entity's own information. Terms above the disclosure threshold become spans of kind `term` wherever they
 stand and are removed by sanitisation, while base spans are generalised to their kind.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +23,12 @@ from ._shared import BROADCAST_ROWS, row_keys, small, written
 KINDS = ("email", "ip", "card", "phone")
 #: Words on either side of an entity that form its context.
 CONTEXT_WORDS = 8
+#: Buckets of term hashes that are sent to the tasks (four bytes each); a clash costs rows, not results.
+BUCKETS = 1 << 20
+#: The share of the texts, one in so many by hash, that shows first which terms stand too often elsewhere to reveal anything.
+FIRST_ROUND = 16
+#: Terms whose bucket a task remembers, and rows that it holds back.
+KNOWN_TERMS, HELD_ROWS = 200_000, 200_000
 #: Characters that don't belong to a word at its ends.
 EDGES = ".,;:!?()[]{}<>\"'`«»“”„‘’*#%&$|/\\=+-_"
 
@@ -31,6 +38,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 #: A match that fails from the first digit of a run fails from the others too: starts are the first digits only.
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+_WORD = re.compile(r"\S+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 
@@ -75,85 +83,166 @@ def term_of(word: str) -> str:
     return word.strip(EDGES).lower()
 
 
-def _context(text: str, start: int, end: int) -> list[str]:
-    """The terms of the words on either side; a word cut by the window isn't whole and is left out."""
-    before, after = text[max(0, start - 400) : start], text[end : end + 400]
-    left, right = before.split(), after.split()
-    if start > 400 and not before[0].isspace():
+def _context(text: str, start: int, end: int, base: list[tuple[str, int, int]]) -> list[tuple[int, str]]:
+    """(start, term) of the whole words on either side; a word cut by the window, touching the span or in a base span is left out."""
+    low, high = max(0, start - 400), min(len(text), end + 400)
+    left = [(low + m.start(), m.group()) for m in _WORD.finditer(text[low:start])]
+    right = [(end + m.start(), m.group()) for m in _WORD.finditer(text[end:high])]
+    if left and left[0][0] == low and low and not text[low - 1].isspace():
         left = left[1:]
-    if len(text) > end + 400 and right and not after[-1].isspace():
+    if left and not text[start - 1].isspace():
+        left = left[:-1]
+    if right and not text[end].isspace():
+        right = right[1:]
+    if right and high < len(text) and not text[high - 1].isspace() and not text[high].isspace():
         right = right[:-1]
     words = left[-CONTEXT_WORDS:] + right[:CONTEXT_WORDS]
-    return [t for w in words if "@" not in w and not _DIGIT.search(w) and len(t := term_of(w)) > 1]
+    return [(at, t) for at, w in words if not any(s < at + len(w) and at < e for _, s, e in base) and len(t := term_of(w)) > 1]
+
+
+def _hash(words: list[str]) -> int:
+    return int.from_bytes(hashlib.blake2b("\n".join(words).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
+def _occurrences(text: str) -> tuple[list[tuple[str, int, int, str]], set[int]]:
+    """(entity, context, occurrence, term) of each base span's context, and where the words of the contexts start.
+
+    A word beside several spans is one occurrence: that of the first span's context. Copies of a context have the same
+    hash. The empty term stands for the context itself.
+    """
+    rows, first = set(), {}
+    base = base_spans(text)
+    for kind, start, end in base:
+        words = _context(text, start, end, base)
+        context, entity = _hash([t for _, t in words]), f"{kind}:{text[start:end]}"
+        rows.add((entity, context, context, ""))
+        rows |= {(entity, context, first.setdefault(at, context), t) for at, t in words}
+    return sorted(rows), set(first)
 
 
 def _contexts(docs: DataFrame, text_column: str) -> DataFrame:
-    """(entity, context, term) for each context of each base span; a row with the empty term stands for the context itself."""
+    """(entity, occurrence, term) for each context of each base span; a row with the empty term stands for the context itself."""
 
     def find(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            rows = []
-            for text in batch.column(0).to_pylist():
-                if not text:
-                    continue
-                for kind, start, end in base_spans(text):
-                    terms = _context(text, start, end)
-                    context = zlib.crc32(" ".join(terms).encode("utf-8", "replace"))
-                    rows += [(f"{kind}:{text[start:end]}", context, t) for t in {"", *terms}]
+            rows = [(e, o, t) for text in batch.column(0).to_pylist() if text for e, _, o, t in _occurrences(text)[0]]
             columns = list(zip(*rows, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], names=["entity", "context", "term"])
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], names=["entity", "occurrence", "term"])
 
-    return docs.select(text_column).mapInArrow(find, "entity string, context long, term string")
+    return docs.select(text_column).mapInArrow(find, "entity string, occurrence long, term string")
 
 
-def _term_counts(docs: DataFrame, wanted: set[str] | None, text_column: str) -> DataFrame:
-    """(term, n) of the wanted terms (None: of all), not yet summed over tasks; the empty term counts all words."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+def _elsewhere(docs: DataFrame, caps: np.ndarray, text_column: str) -> DataFrame:
+    """(term, occurrence, n): the occurrences outside all contexts of the terms whose bucket of caps isn't 0, by the hash of
+    the words around them; copies have the same hash. A term with more than its cap in a task gives one row without a hash
+    and with n above the cap. The empty term gives the number of words of each text."""
+    shared = docs.sparkSession.sparkContext.broadcast(caps)
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        wanted = shared.value
+        caps = shared.value
+        known: dict[str, int] = {}
+        seen: dict[str, set[int]] = {}
+        over: set[str] = set()
+        texts: list[tuple[int, int]] = []
+        held = 0
+
+        def rows() -> pa.RecordBatch:
+            out = [("", h, n) for h, n in texts] + [(t, h, 1) for t, found in seen.items() for h in found]
+            columns = list(zip(*out, strict=True)) or [[], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["term", "occurrence", "n"])
+
         for batch in batches:
-            counts: Counter = Counter()
-            total = 0
             for text in batch.column(0).to_pylist():
                 words = (text or "").split()
-                total += len(words)
-                for word, n in Counter(words).items():
+                if not words:
+                    continue
+                texts.append((_hash(words), len(words)))
+                held += 1
+                wanted = {}
+                for word in set(words):
                     term = term_of(word)
-                    if wanted is None or term in wanted:
-                        counts[term] += n
-            counts[""] = total
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
-
-    return docs.select(text_column).mapInArrow(count, "term string, n long")
+                    if term in over:
+                        continue
+                    cap = known.get(term)
+                    if cap is None:
+                        cap = int(caps[zlib.crc32(term.encode("utf-8", "replace")) % len(caps)])
+                        if len(known) < KNOWN_TERMS:
+                            known[term] = cap
+                    if cap:
+                        wanted[word] = term, cap
+                if wanted:
+                    inside = _occurrences(text)[1]
+                    starts = [m.start() for m in _WORD.finditer(text)] if inside else None
+                    for i, word in enumerate(words):
+                        if word in wanted and not (starts and starts[i] in inside):
+                            term, cap = wanted[word]
+                            if term in over:
+                                continue
+                            found = seen.setdefault(term, set())
+                            before = len(found)
+                            found.add(_hash(words[max(0, i - CONTEXT_WORDS) : i + CONTEXT_WORDS + 1]))
+                            held += len(found) - before
+                            if len(found) > cap:
+                                over.add(term)
+                                held -= len(seen.pop(term))
+                                yield pa.RecordBatch.from_arrays([pa.array([term], pa.string()), pa.array([None], pa.int64()), pa.array([cap + 1], pa.int64())], names=["term", "occurrence", "n"])
+                if held > HELD_ROWS:
+                    yield rows()
+                    seen.clear()
+                    texts.clear()
+                    held = 0
+        yield rows()
+
+    return docs.select(text_column).mapInArrow(count, "term string, occurrence long, n long")
+
+
+def _caps(terms: DataFrame) -> np.ndarray | None:
+    """The largest cap of each bucket of terms (term, cap); None if there are none."""
+    buckets = terms.groupBy((F.crc32("term") % BUCKETS).cast("int").alias("bucket")).agg(F.max("cap").cast("int").alias("cap")).toArrow()
+    if not buckets.num_rows:
+        return None
+    caps = np.zeros(BUCKETS, np.int32)
+    caps[buckets["bucket"].to_numpy()] = buckets["cap"].to_numpy()
+    return caps
 
 
-def disclosing_terms(docs: DataFrame, share: float = 0.9, min_contexts: int = 4, text_column: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame | None:
+def disclosing_terms(docs: DataFrame, share: float = 0.9, smoothing: float = 1.0, text_column: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame | None:
     """The terms that reveal a protected entity, or None if there are none.
 
-    A term in at least min_contexts distinct contexts of an entity reveals it if its pointwise mutual information with
-    it is at least `share` of the entity's information. Copies of a context count once; counts are over all of docs.
+    A term reveals an entity if its pointwise mutual information with it, log2 p(entity | term) / p(entity), is at least
+    `share` of the entity's information. p(entity | term) = (together + smoothing * p(entity)) / (n + smoothing), so that
+    entities of one context count and little evidence counts less. together and n, the term's occurrences everywhere, are
+    on the same basis: copies of a context, or of the words around an occurrence, count once; p(entity) is the entity's
+    distinct contexts over the words of distinct texts.
     """
-    seen = _contexts(docs, text_column).distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together"))
-    seen = written(seen.filter(F.col("together") >= min_contexts), "co-occurrence")
-    pairs, entities = seen.filter("term <> ''"), seen.filter("term = ''").select("entity", F.col("together").alias("contexts"))
-    if pairs.isEmpty():
-        return None
-    terms = pairs.select("term").distinct()
-    wanted = {r.term for r in terms.collect()} if small(terms, broadcast_rows) else None
-    counts = _term_counts(docs, wanted, text_column)
-    if wanted is None:
-        counts = counts.filter("term = ''").unionByName(counts.join(terms, "term", "left_semi"))
-    counts = written(counts.groupBy("term").agg(F.sum("n").alias("n")), "term-counts")
+    seen = written(_contexts(docs, text_column).distinct(), "co-occurrence")
+    entities = seen.filter("term = ''").groupBy("entity").agg(F.count(F.lit(1)).alias("contexts"))
+    pairs = seen.filter("term <> ''").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together"))
+    inside = seen.filter("term <> ''").select("term", "occurrence").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("inside"))
+    # A text has at most one word for two characters, so no entity's probability is below `least`: a term with more
+    # occurrences than its cap can't reveal any. Those that pass it in a part of the texts already aren't counted further.
+    least = 1.0 / max(1, docs.agg(F.sum(F.length(text_column) + 1)).first()[0] or 0)
+    most = pairs.groupBy("term").agg(F.max("together").alias("most")).join(inside, "term")
+    cap = F.ceil((F.col("most") + F.lit(smoothing)) / F.lit(least ** (1 - share)) - F.lit(smoothing))
+    terms = written(most.select("term", "inside", F.least(cap, F.lit(2**31 - 2)).cast("long").alias("cap")).filter("inside <= cap"), "terms")
+    for share_of in (FIRST_ROUND, 1):
+        caps = _caps(terms)
+        if caps is None:
+            return None
+        part = docs if share_of == 1 else docs.filter(F.pmod(F.xxhash64(text_column), F.lit(share_of)) == 0)
+        counts = written(_elsewhere(part, caps, text_column).distinct().groupBy("term").agg(F.sum("n").alias("n")), "term-counts")
+        if share_of > 1:
+            terms = written(terms.join(counts, "term", "left").filter(F.col("inside") + F.coalesce("n", F.lit(0)) <= F.col("cap")).select(*terms.columns), "terms")
     total = counts.filter("term = ''").first().n
-    p = lambda c: F.col(c) / F.lit(float(total))
-    mutual = F.log2(p("together") / (p("n") * p("contexts")))
-    # In copies a term stands more often than in distinct contexts; that lowers what it reveals, never raises it.
-    scored = pairs.join(entities, "entity").join(counts, "term").filter(mutual >= F.lit(share) * -F.log2(p("contexts")))
+    terms = F.broadcast(terms) if small(terms, broadcast_rows) else terms
+    scored = pairs.join(terms, "term").join(entities, "entity").join(counts, "term", "left")
+    p = F.col("contexts") / F.lit(float(total))
+    given = (F.col("together") + F.lit(smoothing) * p) / (F.col("inside") + F.coalesce("n", F.lit(0)) + F.lit(smoothing))
+    scored = scored.filter(F.log2(given) - F.log2(p) >= F.lit(share) * -F.log2(p))
     found = written(scored.select("term").distinct(), "disclosing-terms")
     return None if found.isEmpty() else found
 
@@ -178,9 +267,6 @@ def sanitised(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*parts, text[at:]])
 
 
-_WORD = re.compile(r"\S+")
-
-
 def _term_spans(text: str, terms: set[str], base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     if not any(term_of(w) in terms for w in set(text.split())):
         return []

@@ -129,6 +129,20 @@ def test_disclosing_terms(frame, odd):
     assert pii.find_pii(frame([]), None).count() == 0
 
 
+def test_disclosing_terms_of_rare_entities_copies_and_digits(frame):
+    rng = np.random.default_rng(9)
+    prose = lambda: " ".join(rng.choice(["lorem", "ipsum", "dolor", "sit", "amet", "sed", "non", "quis"], 40))
+    rows = [(i, prose()) for i in range(200)]
+    rows += [(300 + i, f"{prose()} zorblax write me@corp.example.com {prose()}") for i in range(3)]
+    copied = [f"{prose()} quuxly write you@corp.example.com {prose()}" for _ in range(4)]
+    rows += [(400 + i, copied[i % 4]) for i in range(400)]
+    rows += [(900, f"{prose()} case77x4 write he@corp.example.com {prose()}")] + [(910 + i, f"{prose()} write {prose()} often {prose()}") for i in range(40)]
+    rows += [(990, f"{prose()} often write she@corp.example.com {prose()}")]
+    for limit in (0, 1000):
+        assert {r.term for r in pii.disclosing_terms(frame(rows), broadcast_rows=limit).collect()} == {"zorblax", "quuxly", "case77x4"}
+    assert pii._context("ab me@x.com, next +49 30 123456789 end", 3, 11, pii.base_spans("ab me@x.com, next +49 30 123456789 end")) == [(0, "ab"), (13, "next"), (35, "end")]
+
+
 @pytest.fixture(scope="module")
 def trees():
     return H.trained_model(300)
