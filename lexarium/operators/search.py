@@ -160,3 +160,11 @@ def precedent_strength(level: Column, own_level: Column, similarity: Column, rec
     """0.4 rank (halved below the own court), 0.3 similarity, 0.2 recency, 0.1 citations."""
     rank = level / 5 * F.when(level < own_level, 0.5).otherwise(1.0)
     return 0.4 * rank + 0.3 * similarity + 0.2 * recency + 0.1 * F.least(F.lit(1.0), F.log1p(cited) / F.ln(F.lit(100.0)))
+
+
+def jaccard_join(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, jaccard) of all pairs of (doc_id, text) and (item_id, text) that share a token, found through the
+    shared tokens; ids are unique. Null texts have no tokens."""
+    sets = lambda df, key, size: df.select(key, F.array_distinct(X.tokens("text")).alias("_w")).select(key, F.size("_w").alias(size), F.explode("_w").alias("_t"))
+    shared = sets(docs, "doc_id", "_a").join(sets(items, "item_id", "_b"), "_t").groupBy("doc_id", "item_id", "_a", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    return shared.select("doc_id", "item_id", F.round(F.col("_n") / (F.col("_a") + F.col("_b") - F.col("_n")), 6).alias("jaccard"))

@@ -122,6 +122,12 @@ def jaccard_pairs(spark, d):
     return docs.crossJoin(F.broadcast(items)).select("doc_id", "item_id", F.round(X.jaccard("a", "b"), 6).alias("jaccard"))
 
 
+@query(None)
+def jaccard_all_pairs(spark, d):
+    """Token-set Jaccard of all documents and items that share a token (all others have 0); jaccard_pairs is the part of it that its SQL covers."""
+    return S.jaccard_join(T.corpus(spark, d).select("doc_id", "text"), T.table(spark, d, "benchmark").select("item_id", "text"))
+
+
 _VECTORS = _INDEX.replace(_STOP, _STOP + ", 'this', 'that', 'these', 'those'") + ", raw AS (SELECT doc_id, term, tf * (ln((1.0 + n) / (1.0 + df)) + 1) AS w FROM tf JOIN df USING (term), n), nrm AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM raw GROUP BY 1), v AS (SELECT doc_id, term, w / norm AS weight FROM raw JOIN nrm USING (doc_id))"
 
 
