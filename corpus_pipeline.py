@@ -33,9 +33,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes lines found in ten documents or more out of all. Documents of nothing but such lines, as those with ten copies
-    or more are, stay whole: the next stage keeps one of them."""
-    return _counted(line_dedup(docs.select(*COLUMNS), keep_emptied=True))
+    """Takes lines found in ten documents or more out of all. Of exact copies that would be left without words, the one with
+    the smallest id stays whole."""
+    return _counted(line_dedup(docs.select(*COLUMNS), keep_copy=True))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -118,6 +118,7 @@ def line_dedup(
     fanout: int = 2,
     broadcast_rows: int = BROADCAST_ROWS,
     keep_emptied: bool = False,
+    keep_copy: bool = False,
 ) -> DataFrame:
     """docs with text replaced by what remains, and n_lines and n_dropped (long) added (columns of these names are replaced).
 
@@ -125,13 +126,23 @@ def line_dedup(
     ends, A-Z lower-cased, at least min_chars code points) is in at least min_documents rows go from every document; the
     others stay, joined by line feeds. A text that loses no line is unchanged, but null becomes empty. Rows that repeat
     an id count as documents of their own. An empty table gives no rows. With keep_emptied a document that would lose
-    every line loses none: it is one of many copies of a whole text, which is no boilerplate.
+    every line loses none, copy or not. With keep_copy only the row with the smallest id among exact copies of a text that
+    would be left without a line other than blank ones loses none; a text without an exact copy keeps no frequent line.
     """
     frequent = frequent_lines(docs, min_documents, min_chars, text_column, batches, fanout)
     keyed = docs.select("*", *row_keys(id_column, text_column))
     lines = keyed.select(*ROW, F.posexplode(F.split(text_of(text_column), "\n")).alias("_at", "_line"))
     lines = lines.withColumn("_key", line_key(F.col("_line"))).filter(F.length("_key") >= min_chars).select(*ROW, "_at", *key_hash(F.col("_key")))
     places = _marked(lines, frequent, broadcast_rows).groupBy(*ROW).agg(F.array_sort(F.collect_set("_at")).alias("_at"))
+    if keep_copy:
+        places = written(places, "line-places")
+        text = text_of(text_column)
+        worded = F.size(F.filter(F.split(text, "\n"), lambda line: F.length(line_key(line)) > 0))
+        sizes = keyed.select(*ROW, F.col(id_column).alias("_id"), F.xxhash64(text).alias("_t1"), F.xxhash64(F.lit(13), text).alias("_t2"), worded.alias("_worded"))
+        emptied = written(sizes.join(places.select(*ROW, F.size("_at").alias("_n")), ROW).filter("_n = _worded"), "line-emptied")
+        groups = emptied.groupBy("_t1", "_t2").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_copies")).filter("_copies > 1")
+        firsts = emptied.join(groups, ["_t1", "_t2"]).filter(F.col("_id").eqNullSafe(F.col("_first"))).select(*ROW).distinct()
+        places = places.join(firsts, ROW, "left_anti")
     # _gone[i]: whether line i goes; built from the gaps between the sorted places, so that each look-up is one step.
     gap = lambda at, i: at - F.coalesce(F.when(i > 0, F.get("_at", i - 1)), F.lit(-1)) - 1
     gone = F.flatten(F.transform("_at", lambda at, i: F.concat(F.array_repeat(F.lit(False), gap(at, i)), F.array(F.lit(True)))))

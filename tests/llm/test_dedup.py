@@ -81,6 +81,13 @@ def test_line_dedup_keeps_whole_copies(frame):
     assert kept[3] == ("all\nof it", 0) and kept[20] == ("else", 1) and kept[21] == ("", 0) and kept[22] == ("all", 0)
 
 
+def test_line_dedup_keeps_one_exact_copy(frame):
+    rows = [(i, "A\n\nB") for i in range(10)] + [(20 + i, "C\nD\n") for i in range(10)] + [(40, "A\nD"), (41, "B"), (42, "C\nelse"), (None, "A\n\nB")]
+    kept = {r.doc_id: r.text for r in line_dedup(frame(rows), 10, keep_copy=True).collect()}
+    assert kept[0] == "A\n\nB" and kept[20] == "C\nD\n"
+    assert all(not kept[i].strip() for i in (*range(1, 10), *range(21, 30), 40, 41, None)) and kept[42] == "else"
+
+
 def test_line_dedup_empty_and_clashing_columns(frame):
     assert line_dedup(frame([])).count() == 0
     df = frame([(1, "a", 5, "x")], "doc_id long, text string, n_lines int, h1 string")
