@@ -39,13 +39,48 @@ BAD = frozenset(
 )
 TAG_GROUPS = ("p", "h1 h2 h3 h4 h5 h6", "li", "ul ol dl", "div section", "article main", "nav menu", "header", "footer", "aside", "form fieldset legend", "table tbody tr td th thead tfoot", "figure figcaption", "blockquote pre address", "body html", "#text")
 _GROUP = {t: i for i, g in enumerate(TAG_GROUPS) for t in g.split()}
-_TAG = re.compile(r"<(?:!--(?:.*?-->|.*$)|([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]{0,65536}+\"|'[^']{0,65536}+')*+)>|/([a-zA-Z][a-zA-Z0-9:-]*)[^>]*>|[!?/][^>]*>)", re.S)
+_TAG = re.compile(r"<(?:!--(?:.*?-->|.*$)|([a-zA-Z][a-zA-Z0-9:-]*)|/([a-zA-Z][a-zA-Z0-9:-]*)[^>]*>|[!?/][^>]*>)", re.S)
+#: A step through a tag's attributes: to a quoted value's opening quote (1), over an unquoted value, to the end (2) or over a stray sign.
+_STEP = re.compile(r"[^<>\"'=]*+(?:=\s*+([\"'])|=\s*+[^\s<>\"'][^\s<>]*+|([<>])|[\"'=])")
 _NAMED = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _STOPS = re.compile(r"[.,;:!?]")
 N_GROUPS = len(TAG_GROUPS)
 
 
+class Tags:
+    """The tags of a page in order. Quoted values have any length; where a quote is never closed, the tag ends at the next >."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.unclosed: set[str] = set()  # quotes that don't occur in the rest of the page
+
+    def _end(self, at: int) -> int:
+        """Where the attributes that begin at `at` end, -1 if there is no end before the next <."""
+        while m := _STEP.match(self.page, at):
+            at = m.end()
+            if m[2]:
+                return at - 1 if m[2] == ">" else -1
+            if quote := m[1]:
+                close = -1 if quote in self.unclosed else self.page.find(quote, at)
+                if close < 0:
+                    self.unclosed.add(quote)
+                    return self.page.find(">", at)
+                at = close + 1
+        return -1
+
+    def after(self, at: int) -> tuple[int, int, str | None, str, str | None] | None:
+        """(start, end, opened tag, its attributes, closed tag) of the next tag, comment or declaration."""
+        while m := _TAG.search(self.page, at):
+            if not m[1]:
+                return m.start(), m.end(), None, "", m[2]
+            end = self._end(m.end())
+            if end >= 0:
+                return m.start(), end + 1, m[1], self.page[m.end() : end], None
+            at = m.end()
+        return None
+
+
 class Node:
     __slots__ = ("tag", "parent", "good", "bad", "text", "linked", "kids", "at", "depth", "size", "links", "tags", "stops", "gold", "hidden")
 
@@ -73,6 +108,7 @@ def parse(page: str) -> Node:
     run: list[str] = []
     links = linked = 0
     at, n = 0, len(page)
+    tags = Tags(page)
 
     def flush() -> None:
         nonlocal linked
@@ -105,8 +141,8 @@ def parse(page: str) -> Node:
         return False
 
     while at < n:
-        m = _TAG.search(page, at)
-        if not m:
+        found = tags.after(at)
+        if not found:
             tail = page[at:]
             cut = tail.rfind("<")  # a tag that the page's end cuts off is no text
             if cut >= 0 and re.match(r"</?[a-zA-Z!]|<$", tail[cut:]):
@@ -114,15 +150,15 @@ def parse(page: str) -> Node:
             if not unseen:
                 run.append(tail)
             break
-        if m.start() > at and not unseen:
-            piece = page[at : m.start()]
+        start, stop_at, tag, attributes, end = found
+        if start > at and not unseen:
+            piece = page[at:start]
             run.append(piece)
             if links:
                 linked += len(piece)
-        at = m.end()
-        tag, end = m[1], m[3]
+        at = stop_at
         if tag:
-            tag, attributes = tag.lower(), m[2]
+            tag = tag.lower()
             if tag in RAW:
                 if not attributes.endswith("/"):
                     stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)

@@ -178,6 +178,16 @@ def test_html_odd_pages(frame, trees):
     assert H.extract_text(frame([], "page_id long, url string, html string"), trees).count() == 0
 
 
+def test_html_long_values_and_unpaired_quotes():
+    texts = lambda page: [n.text for n in H.nodes_of(H.parse(page)) if n.text]
+    for n in (10, 65_536, 70_000, 2_000_000):
+        for q in "\"'":
+            assert texts(f"<p>one</p><img src={q}data:{'A' * n}>{q}><p data-json={q}{'<b>' * (n // 3)}{q}>two</p>") == ["one", "two"]
+    assert texts("<p title=Bob's>one</p><p>it's two</p>") == ["one", "it's two"]
+    assert texts("<p>one</p><p title='Bob>two</p>") == ["one", "two"]
+    assert texts('<p alt="a"b"c">one</p><p>1 < 2 and a <b >c</b></p>') == ["one", "1 < 2 and a c"]
+
+
 def test_decoding_never_keeps_below_dropped(trees):
     rng, generator = np.random.default_rng(0), H.Generator(5)
     for _ in range(30):
