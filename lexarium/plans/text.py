@@ -214,6 +214,16 @@ def hits3(spark, d):
     return G.hits(T.edges(spark, d), iterations=3).select("id", _r("hub", 8), _r("authority", 8))
 
 
+@query(None)
+def pagerank(spark, d):
+    return G.pagerank(T.edges(spark, d), T.table(spark, d, "part").select(F.col("p_partkey").alias("id"))).select("id", _r("rank", 10))
+
+
+@query(None)
+def hits(spark, d):
+    return G.hits(T.edges(spark, d)).select("id", _r("hub", 8), _r("authority", 8))
+
+
 # Sketches
 
 _BITS, _HASHES = N.bloom_size(2000, 0.01)
@@ -276,6 +286,12 @@ def sentence_split(spark, d):
     return T.corpus(spark, d).select("doc_id", (F.size(X.sentences("text")) >= 0).alias("ok"))
 
 
+@query(None)
+def sentence_lists(spark, d):
+    found = F.coalesce(X.sentences("text"), F.array().cast("array<string>"))
+    return T.corpus(spark, d).select("doc_id", F.size(found).cast("long").alias("n_sentences"), F.sha2(F.array_join(found, "\n"), 256).alias("sentences_sha256"))
+
+
 @query(None)
 def token_types(spark, d):
     return P.token_types(T.corpus(spark, d))
