@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,24 +15,28 @@ SPACES = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of up to this many keys are broadcast (a key is at most 40 bytes); beyond it joins shuffle.
 BROADCAST_ROWS = 100_000
+_FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Only a local master, whose executors share the driver's disk, gets a folder here where it is unset; a cluster without one is an error.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="lexarium-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lexarium-"))
+        folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 
 def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts the lineage so that lost executors cost one stage.
 
-    The files stay until the session's owner clears the shared folder, since any later plan may read them.
+    The files stay until discard() or the session's owner removes them, since any later plan may read them.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
@@ -38,8 +44,19 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    return back.select(*df.columns)
+    back = spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    _FOLDERS[back] = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of tables that written() gave and that no plan still to be run reads."""
+    for table in tables:
+        path = _FOLDERS.pop(table, None)
+        if path:
+            spark = table.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def text_of(column: str = "text") -> Column:

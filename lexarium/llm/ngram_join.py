@@ -1,21 +1,22 @@
 """Size-aware heavy-light Jaccard join of word n-gram sets.
 
 Light sets (few shingles) enumerate the subsets of the size that a partner must share: sets with a common subset are
-candidates. Heavy sets scan inverted lists: a set's shingles fall into one block more, by hash, than two linked sets can
-differ in, so that linked sets have a block in common; the lists are keyed by whole blocks, which makes passages that
-many documents share harmless. The size where one gives way to the other is where enumeration would cost more rows.
-
-Each task reduces a list to one entry, so a list has at most one row per task. Lists give the families that may be linked;
-inside a family all pairs are verified exactly, in bounded groups: blocks of a large family first meet a few common
-anchors and their own members, and only what then stands apart from the family's largest part meets every block.
+candidates. Heavy sets scan inverted lists: a set's shingles are put into one order for all sets, frequent ones last, and the
+set stands in the lists of the first of them, as many as a linked set can lack and one more, so that two linked sets meet in the list
+of the first shingle that they share. An entry carries the set's size and the largest partner that the shingles from there on
+still allow; a list, read by size, links an entry to those before it only where that partner is large enough. The size where one way gives
+way to the other is where enumeration would cost more rows.
+
+Each task reduces a list to its runs before it is shuffled, and lists of frequent shingles are reduced in shares first, so
+that no list brings a row of each set to one task. Runs give the families that may be linked; inside a family all pairs are
+verified exactly, in bounded groups: blocks of a large family first meet a few common anchors and their own members, and
+only what then stands apart from the family's largest part meets every block. Texts are read for members of families only.
 """
 
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
 from collections.abc import Iterator
-from functools import cache
 from itertools import combinations
 from math import comb
 
@@ -23,16 +24,18 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import BROADCAST_ROWS, small, written
+from ._shared import BROADCAST_ROWS, discard, row_keys, small, text_of, written
 from .components import components
 from .exact_dedup import with_groups
 
 #: Sets in a group of pairs, and the anchors that every block of a large family meets.
 GROUP, ANCHORS = 128, 8
-#: Empty blocks that two sets may share before empty blocks count as lists.
-SPARE = 2
-#: Words whose hashes a worker keeps, list entries that a task gathers before it passes them on.
+#: Words whose hashes a worker keeps, and shingles or list entries that a task gathers before it passes them on.
 KNOWN_WORDS, GATHERED = 1 << 19, 2_000_000
+#: Buckets of shingles whose frequency is counted (one byte each is broadcast); which order a clash gives doesn't change the result.
+LEVEL_BITS = 21
+#: Lists of shingles that were seen 2 ** HOT_LEVEL times or more are reduced in so many shares first.
+HOT_LEVEL, SHARES = 12, 64
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
 
@@ -75,8 +78,6 @@ class Sizes:
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
-        self.bounds = [1]
-        self._blocks: dict[int, int] = {}
         self.light = self._boundary()
 
     def shared(self, n: int, m: int) -> int:
@@ -89,67 +90,42 @@ class Sizes:
     def least(self, n: int) -> int:
         return -(-n * self.num // self.den)
 
-    def interval(self, n: int) -> int:
-        """The number of the interval of sizes that holds n; a set's partners are in its own, the next or the one before."""
-        while self.bounds[-1] <= n:
-            self.bounds.append(self.most(self.bounds[-1]) + 1)
-        return bisect_right(self.bounds, n) - 1
-
-    def blocks(self, j: int) -> int:
-        """One block more than linked sets can differ in whose smaller one is in interval j, and SPARE more."""
-        if j not in self._blocks:
-            while len(self.bounds) < j + 2:
-                self.interval(self.bounds[-1])
-            n = self.bounds[j + 1] - 1
-            # n + m - 2 * shared(n, m) is at most (n + m) * (den - num) / (den + num)
-            self._blocks[j] = (n + self.most(n)) * (self.den - self.num) // (self.den + self.num) + 1 + SPARE
-        return self._blocks[j]
+    def partner(self, n: int, rest: np.ndarray) -> np.ndarray:
+        """The largest set that a set of n may be linked with if they share at most `rest` elements."""
+        return rest * (self.num + self.den) // self.num - n
 
     def subset_rows(self, n: int) -> int:
         """How many subsets a light set of n emits."""
         return sum(comb(n, t) for m in range(self.least(n), self.most(n) + 1) if (t := self.shared(n, m)) <= min(n, m))
 
     def _boundary(self) -> int:
-        """The largest size up to which subsets are no more than the rows of blocks and the shingles to verify."""
+        """The largest size up to which subsets are no more than the rows of lists and the shingles to verify."""
         n = 1
-        while n < 64 and self.subset_rows(n + 1) <= 2 * self.blocks(self.interval(n + 1)) + n + 1:
+        while n < 64 and self.subset_rows(n + 1) <= 2 * (n + 2 - self.least(n + 1)) + n + 1:
             n += 1
         return n
 
-    def keys(self, h: np.ndarray) -> np.ndarray:
-        """The lists in which a set (sorted hashes) stands."""
+    def entries(self, h: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(list, size, largest partner, level of the shingle) of each list in which a set (sorted hashes) stands."""
         n, out = len(h), []
-        if not n:
-            return np.zeros(0, np.int64)
-        mixed = mix(h ^ _MIX[1])
-        if n <= self.light:
-            total = int(mixed.sum(dtype=np.uint64))
-            values = [int(x) for x in mixed]
+        if n and n <= self.light:
+            mixed = mix(h ^ _MIX[1])
+            total, values = int(mixed.sum(dtype=np.uint64)), [int(x) for x in mixed]
             for m in range(self.least(n), min(self.light, self.most(n)) + 1):
                 t = self.shared(n, m)
                 if t <= min(n, m):
                     salt = min(n, m) * 1000003 + max(n, m)
-                    out += [np.array([(total - sum(left) & 0xFFFFFFFFFFFFFFFF) ^ (salt << 20) for left in combinations(values, n - t)], np.uint64)]
-        j = self.interval(n)
-        intervals = [j] if self.most(n) > self.light else []
-        if j and n > self.light and self.least(n) < self.bounds[j]:
-            intervals.append(j - 1)
-        for i in intervals:
-            parts = self.blocks(i)
-            edges = np.searchsorted(h, _edges(parts))
-            full = np.flatnonzero(np.diff(np.append(edges, n)))
-            sums = np.add.reduceat(mixed, edges[full])
-            if parts - len(full) > SPARE:
-                empty = np.setdiff1d(np.arange(parts), full)
-                full, sums = np.append(full, empty), np.append(sums, np.zeros(len(empty), np.uint64))
-            out.append(mix(sums) ^ mix((full + 1000 * (i + 1)).astype(np.uint64) * _MIX[3]))
-        return mix(np.concatenate(out)).view(np.int64) if out else np.zeros(0, np.int64)
-
-
-@cache
-def _edges(parts: int) -> np.ndarray:
-    """Where the blocks of the hash range begin."""
-    return np.array([(i << 64) // parts for i in range(parts)], np.uint64)
+                    out += [(total - sum(left) & 0xFFFFFFFFFFFFFFFF) ^ (salt << 20) for left in combinations(values, n - t)]
+        lists = mix(np.array(out, np.uint64)).view(np.int64)
+        sizes, partners, ranks = np.zeros(len(out), np.int64), np.zeros(len(out), np.int64), np.zeros(len(out), np.uint8)
+        if n and self.most(n) > self.light:
+            level = levels[(h >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)]
+            order = np.argsort(level, kind="stable")[: n - self.shared(n, self.least(n)) + 1]
+            lists = np.append(lists, h[order].view(np.int64))
+            sizes = np.append(sizes, np.full(len(order), n))
+            partners = np.append(partners, self.partner(n, n - np.arange(len(order))))
+            ranks = np.append(ranks, level[order])
+        return lists, sizes, partners, ranks
 
 
 def _digest(h: np.ndarray) -> tuple[int, int]:
@@ -158,82 +134,157 @@ def _digest(h: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def _lists(docs: DataFrame, text_column: str, n: int, num: int, den: int) -> DataFrame:
-    """(list, member): the entries of all lists, one for each list and gathering of a task, and the task's own links as lists of two."""
+def _sets(docs: DataFrame, id_column: str, text_column: str, n: int) -> DataFrame:
+    """(doc_id, n_shingles, d1, d2, _row, _row2) of each document, and (bucket, seen): how often shingles that several sets of
+    a task hold were seen. The rows of either kind leave the other's columns null."""
+    id_type = docs.schema[id_column].dataType
+    source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).select("doc_id", "text", *row_keys("doc_id", "text"))
+
+    def sets(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        kinds = [to_arrow_type(id_type), *[pa.int64()] * 5, pa.int32(), pa.int64()]
+        names = ["doc_id", "n_shingles", "d1", "d2", "_row", "_row2", "bucket", "seen"]
+        shingler = Shingler(n)
+        gathered: list[np.ndarray] = []
+        known: set[int] = set()
+        held = 0
+
+        def table(columns: dict, rows: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([columns[c].cast(t) if c in columns else pa.nulls(rows, t) for c, t in zip(names, kinds, strict=True)], names=names)
+
+        def counted() -> pa.RecordBatch:
+            every, times = np.unique(np.concatenate(gathered) if gathered else np.zeros(0, np.uint64), return_counts=True)
+            several = times > 1
+            bucket, at = np.unique((every[several] >> np.uint64(64 - LEVEL_BITS)).astype(np.int32), return_inverse=True)
+            return table({"bucket": pa.array(bucket), "seen": pa.array(np.bincount(at, times[several], len(bucket)).astype(np.int64))}, len(bucket))
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                found = []
+                for h in map(shingler, part.column(1).to_pylist()):
+                    found.append((len(h), *_digest(h)))
+                    if found[-1][1] not in known:
+                        known.add(found[-1][1])
+                        gathered.append(h)
+                        held += len(h)
+                sizes, d1, d2 = (pa.array(c, pa.int64()) for c in zip(*found, strict=True))
+                yield table({"doc_id": part.column(0), "n_shingles": sizes, "d1": d1, "d2": d2, "_row": part.column(2), "_row2": part.column(3)}, part.num_rows)
+                if held > GATHERED:
+                    yield counted()
+                    gathered.clear()
+                    known.clear()
+                    held = 0
+        yield counted()
+
+    return source.mapInArrow(sets, f"doc_id {id_type.simpleString()}, n_shingles long, d1 long, d2 long, _row long, _row2 long, bucket int, seen long")
+
+
+def _levels(seen: DataFrame) -> np.ndarray:
+    """The binary order of magnitude of each bucket's frequency: 0 for rare ones. One byte a bucket, whatever the size of the corpus."""
+    counts = seen.groupBy("bucket").agg(F.sum("seen").alias("seen")).filter("seen >= 4")
+    found = counts.select("bucket", F.floor(F.log2("seen")).cast("tinyint").alias("level")).toArrow()
+    out = np.zeros(1 << LEVEL_BITS, np.uint8)
+    out[found["bucket"].to_numpy()] = found["level"].to_numpy()
+    return out
+
+
+def _reduced(list_: np.ndarray, size: np.ndarray, partner: np.ndarray, member: np.ndarray, level: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The runs of each list (list, size, partner, member, level) and the links (member, member) inside them.
+
+    A list's entries, by size, are one run as long as a set before allows a partner of the next one's size.
+    """
+    order = np.lexsort((size, list_))
+    list_, size, partner, member, level = (x[order] for x in (list_, size, partner, member, level))
+    first = np.append(True, list_[1:] != list_[:-1])
+    part = np.cumsum(first) - 1
+    step = int(partner.max(initial=0)) + 1
+    reach = np.maximum.accumulate(partner + part * step) - part * step
+    starts = first.copy()
+    starts[1:] |= size[1:] > reach[:-1]
+    at = np.flatnonzero(starts)
+    run = np.cumsum(starts) - 1
+    head = member[at][run]
+    links = np.unique(np.column_stack([head, member])[head != member], axis=0)
+    return [list_[at], size[at], np.maximum.reduceat(partner, at) if len(at) else partner, member[at], level[at]], links
+
+
+def _entries(docs: DataFrame, levels: np.ndarray, text_column: str, n: int, num: int, den: int) -> DataFrame:
+    """(list, share, size, partner, member): the runs of all lists of a task, and its own links as lists of two.
+
+    share is -1 but for lists that are so frequent that they are reduced in shares first.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def entries(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        shingler, sizes = Shingler(n), Sizes(num, den)
-        keys: list[np.ndarray] = []
-        members: list[int] = []
-        seen: set[int] = set()
+        shingler, sizes, levels = Shingler(n), Sizes(num, den), shared.value
+        share = TaskContext.get().partitionId() % SHARES
+        gathered: list[tuple] = []
+        seen: set[tuple[int, int]] = set()
+        held = 0
 
         def passed() -> pa.RecordBatch:
-            every = np.concatenate(keys)
-            owner = np.repeat(np.array(members, np.int64), [len(k) for k in keys])
-            order = np.lexsort((owner, every))
-            every, owner = every[order], owner[order]
-            first = np.append(True, every[1:] != every[:-1])
-            head = owner[first][np.cumsum(first) - 1]
-            apart = np.unique(np.column_stack([head, owner])[head != owner], axis=0)
-            link = mix(apart[:, 0].astype(np.uint64) * _MIX[3] + apart[:, 1].astype(np.uint64)).view(np.int64)
+            runs, links = _reduced(*(np.concatenate(c) for c in zip(*gathered, strict=True)))
             # In order of members, so that equal ones stand together and the shuffle compresses them.
-            by_member = np.argsort(owner[first], kind="stable")
-            heads, holders = every[first][by_member], owner[first][by_member]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([heads, link, link])), pa.array(np.concatenate([holders, apart[:, 0], apart[:, 1]]))], names=["list", "member"])
+            order = np.argsort(runs[3], kind="stable")
+            list_, size, partner, member, level = (x[order] for x in runs)
+            link = mix(links[:, 0].astype(np.uint64) * _MIX[3] + links[:, 1].astype(np.uint64)).view(np.int64)
+            none = np.zeros(2 * len(links), np.int32)
+            columns = [
+                np.concatenate([list_, link, link]),
+                np.concatenate([np.where(level >= HOT_LEVEL, share, -1).astype(np.int32), none - 1]),
+                np.concatenate([size.astype(np.int32), none]),
+                np.concatenate([partner.astype(np.int32), none]),
+                np.concatenate([member, links[:, 0], links[:, 1]]),
+            ]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["list", "share", "size", "partner", "member"])
 
-        gathered = 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 h = shingler(text)
-                member, other = _digest(h)
-                if not len(h) or (member, other) in seen:
+                digest = _digest(h)
+                if not len(h) or digest in seen:
                     continue
-                seen.add((member, other))
-                found = sizes.keys(h)
-                if len(found):
-                    keys.append(found)
-                    members.append(member)
-                    gathered += len(found)
-                if gathered > GATHERED:
+                seen.add(digest)
+                list_, size, partner, level = sizes.entries(h, levels)
+                gathered.append((list_, size, partner, np.full(len(list_), digest[0]), level))
+                held += len(list_)
+                if held > GATHERED:
                     yield passed()
-                    keys, members, gathered = [], [], 0
+                    gathered.clear()
                     seen.clear()
-        if keys:
+                    held = 0
+        if gathered:
             yield passed()
 
-    return docs.select(text_column).mapInArrow(entries, "list long, member long")
+    return docs.select(text_column).mapInArrow(entries, "list long, share int, size int, partner int, member long")
 
 
-def _sets(docs: DataFrame, family: DataFrame, id_column: str, text_column: str, n: int, broadcast_rows: int) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, family, body): each document's set; family and body (the text) only for members of families."""
-    id_type = docs.schema[id_column].dataType.simpleString()
-    source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("body"))
-    wanted = None
-    if small(family, broadcast_rows):
-        wanted = docs.sparkSession.sparkContext.broadcast({r.node: r.component for r in family.collect()})
+def _runs(entries: DataFrame) -> DataFrame:
+    """entries with head: the first member of the run that the entry belongs to."""
+    before = Window.partitionBy("list", "share").orderBy("size", "member")
+    reach = F.max("partner").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    marked = entries.withColumn("starts", reach.isNull() | (F.col("size") > reach))
+    head = F.last(F.when(F.col("starts"), F.col("member")), ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return marked.withColumn("head", head)
 
-    def sets(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
-        shingler = Shingler(n)
-        known = wanted.value if wanted is not None else None
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                texts = part.column(1).to_pylist()
-                found = [(len(h), *_digest(h)) for h in map(shingler, texts)]
-                sizes, d1, d2 = zip(*found, strict=True)
-                families = [known.get(d) for d in d1] if known is not None else [None] * len(d1)
-                bodies = [t if known is None or f is not None else None for t, f in zip(texts, families, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(families, pa.int64()), pa.array(bodies, pa.string())], names=["doc_id", "n_shingles", "d1", "d2", "family", "body"])
-
-    out = source.mapInArrow(sets, f"doc_id {id_type}, n_shingles long, d1 long, d2 long, family long, body string")
-    if wanted is None:
-        members = family.select(F.col("node").alias("d1"), F.col("component").alias("_family"))
-        out = out.join(members, "d1", "left").withColumns({"family": F.col("_family"), "body": F.when(F.col("_family").isNotNull(), F.col("body"))})
-    return out.select("doc_id", "n_shingles", "d1", "d2", "family", "body")
+def _candidates(entries: DataFrame) -> DataFrame:
+    """(a, b): the links of the runs of all lists; those of frequent shingles are reduced in shares, then as a whole."""
+    runs = _runs(entries).filter("member <> head OR share >= 0")
+    runs = written(runs.select("list", "share", "size", "partner", "member", "head").distinct(), "runs")
+    edges = runs.filter("member <> head").select(F.col("member").alias("a"), F.col("head").alias("b"))
+    shares = runs.filter("share >= 0")
+    if not shares.isEmpty():
+        whole = shares.groupBy("list", "share", "head").agg(F.min("size").alias("size"), F.max("partner").alias("partner"))
+        whole = _runs(whole.select("list", F.lit(-1).alias("share"), "size", "partner", F.col("head").alias("member")))
+        edges = edges.unionByName(whole.filter("member <> head").select(F.col("member").alias("a"), F.col("head").alias("b")))
+    return edges.distinct()
 
 
 def linked_pairs(sets: list[np.ndarray], num: int, den: int, columns: int = 1 << 14) -> list[tuple[int, int]]:
@@ -319,46 +370,61 @@ def ngram_components(
     a null component_id. An empty table gives no rows; further columns are ignored.
     """
     num, den = similarity
-    lists = _lists(docs, text_column, n, num, den)
-    first = F.first("member").over(Window.partitionBy("list").orderBy("member"))
-    edges = lists.withColumn("head", first).filter("member <> head").select(F.col("member").alias("a"), F.col("head").alias("b")).distinct()
-    family = components(edges)
-    sets = written(_sets(docs, family, id_column, text_column, n, broadcast_rows), "sets")
-
-    members = sets.filter("family IS NOT NULL").groupBy("family", "d1", "d2").agg(F.first("body").alias("body"))
-    members = written(members.withColumn("node", F.monotonically_increasing_id()), "members")
+    source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    first = written(_sets(source, "doc_id", "text", n), "sets")
+    sets = first.filter("bucket IS NULL").select("doc_id", "n_shingles", "d1", "d2", "_row", "_row2")
+    levels = _levels(first.filter("bucket IS NOT NULL").select("bucket", "seen"))
+    family = written(components(_candidates(_entries(source, levels, "text", n, num, den))), "families")
+
+    # One row stands for all rows of one set; only the texts of such rows are read again, and only in families.
+    classes = sets.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.min(F.struct("_row", "_row2")).alias("row"))
+    classes = written(classes.select("d1", "d2", "least", "n", "row._row", "row._row2"), "classes")
+    family = family.select(F.col("node").alias("d1"), F.col("component").alias("family"))
+    members = classes.join(F.broadcast(family) if small(family, broadcast_rows) else family, "d1")
+    members = written(members.select("d1", "d2", "_row", "_row2", "family").withColumn("node", F.monotonically_increasing_id()), "members")
+    total = members.count()
+    keys = members.select("_row", "_row2", "node", "family")
+    texts = source.select(*row_keys("doc_id", "text"), text_of("text").alias("body"))
+    bodies = written(texts.join(F.broadcast(keys) if total <= broadcast_rows else keys, ["_row", "_row2"]).select("node", "family", "body"), "bodies")
+    if bodies.count() > total:  # rows that repeat id and text
+        bodies = written(bodies.groupBy("node", "family").agg(F.first("body").alias("body")), "bodies")
+
     counts = members.groupBy("family").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    sized = members.join(counts, "family")
-    spread = F.xxhash64("d1", "d2")
+    sized = with_groups(bodies, counts.select("family", "n", F.lit(True).alias("several")), "family", total, broadcast_rows).filter("several")
+    spread = F.xxhash64("node")
     blocks = F.ceil(F.col("n") / GROUP)
     own = sized.select("family", "node", "body", F.pmod(spread, blocks).alias("block"))
-    anchor = sized.filter(F.col("n") > GROUP).filter(F.pmod(F.xxhash64("d2", "d1"), F.col("n")) < 2 * ANCHORS)
+    anchor = sized.filter(F.col("n") > GROUP).filter(F.pmod(F.xxhash64("node", F.lit(1)), F.col("n")) < 2 * ANCHORS)
     anchors = anchor.select("family", "node", "body", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
     groups = own.unionByName(anchors).select(F.col("family").alias("g1"), F.col("block").alias("g2"), F.lit(-1).cast("long").alias("g3"), "node", "body")
     links = written(_links(groups, n, num, den), "links")
     parts = components(links)
 
-    large = counts.filter(F.col("n") > GROUP).select("family")
+    large = written(counts.filter(F.col("n") > GROUP), "large-families")
     if not large.isEmpty():
-        inside = members.join(large, "family", "left_semi").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
-        inside = written(inside.select("family", "node", "d1", "d2", "body", "part"), "large-families")
+        part = parts.select("node", F.col("component").alias("part"))
+        inside = with_groups(members.select("node", "family"), large.withColumn("large", F.lit(True)), "family", total, broadcast_rows).filter("large").select("node", "family")
+        inside = written(inside.join(F.broadcast(part) if small(part, broadcast_rows) else part, "node", "left").withColumn("part", F.coalesce("part", "node")), "parts")
         by_part = inside.groupBy("family", "part").agg(F.count(F.lit(1)).alias("m"))
-        main = by_part.groupBy("family").agg(F.max_by("part", F.struct("m", "part")).alias("main"), F.sum("m").alias("all"), F.max("m").alias("m"))
-        main = written(main.filter(F.col("all") > F.col("m")).select("family", "main", F.ceil(F.col("all") / GROUP).alias("all_blocks"), F.ceil((F.col("all") - F.col("m")) / GROUP).alias("apart_blocks")), "main-parts")
-        rows = inside.join(main, "family")
+        main = by_part.groupBy("family").agg(F.max_by("part", F.struct("m", "part")).alias("main"), F.sum("m").alias("n"), F.max("m").alias("m"))
+        main = written(main.filter(F.col("n") > F.col("m")).select("family", "main", "n", F.ceil(F.col("n") / GROUP).alias("all_blocks"), F.ceil((F.col("n") - F.col("m")) / GROUP).alias("apart_blocks")), "main-parts")
+        marked = with_groups(inside, main, "family", total, broadcast_rows).filter("main IS NOT NULL")
+        marked = marked.select("node", (F.col("part") != F.col("main")).alias("apart"), "all_blocks", "apart_blocks")
+        rows = bodies.join(F.broadcast(marked) if small(marked, broadcast_rows) else marked, "node")
         to = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
-        spread = F.xxhash64("d2", "d1")
-        apart = rows.filter("part <> main").select("family", F.pmod(spread, F.col("apart_blocks")).alias("g2"), to("all_blocks").alias("g3"), "node", "body")
+        spread = F.xxhash64("node", F.lit(2))
+        apart = rows.filter("apart").select("family", F.pmod(spread, F.col("apart_blocks")).alias("g2"), to("all_blocks").alias("g3"), "node", "body")
         every = rows.select("family", to("apart_blocks").alias("g2"), F.pmod(spread, F.col("all_blocks")).alias("g3"), "node", "body")
         cells = apart.unionByName(every).withColumnRenamed("family", "g1")
         links = written(links.unionByName(_links(cells, n, num, den)), "links")
         parts = components(links)
 
-    classes = sets.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    part = members.select("d1", "d2", "node").join(parts, "node").select("d1", "d2", "component")
-    placed = written(classes.join(part, ["d1", "d2"], "left"), "classes")
-    least = placed.filter("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("component_least"))
-    groups = placed.join(least, "component", "left").select(F.struct("d1", "d2").alias("set"), "n", F.coalesce("component_least", "least").alias("component_id"))
+    part = members.select("d1", "d2", "node").join(F.broadcast(parts) if small(parts, broadcast_rows) else parts, "node").select("d1", "d2", "component")
+    placed = written(classes.select("d1", "d2", "least", "n").join(F.broadcast(part) if small(part, broadcast_rows) else part, ["d1", "d2"], "left"), "placed")
+    least = placed.filter("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("component_least"), F.count(F.lit(1)).alias("n"))
+    named = with_groups(placed.withColumnRenamed("n", "copies"), least, "component", total, broadcast_rows)
+    groups = written(named.select(F.struct("d1", "d2").alias("set"), F.col("copies").alias("n"), F.coalesce("component_least", "least").alias("component_id")), "groups")
+    discard(family, classes, members, bodies, links, placed)
     rows = sets.select("doc_id", "n_shingles", F.struct("d1", "d2").alias("set"))
     found = with_groups(rows.filter("n_shingles > 0"), groups, "set", sets.count(), broadcast_rows)
     linked = found.select("doc_id", "n_shingles", "component_id")

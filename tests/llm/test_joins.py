@@ -72,6 +72,21 @@ def test_join_with_large_families_and_shuffles(frame, monkeypatch):
     assert sorted(map(tuple, found.collect()), key=repr) == brute(rows, 3, 90, 100)
 
 
+def test_join_with_lists_reduced_in_shares(frame, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT_LEVEL", 0)
+    monkeypatch.setattr(ngram_join, "GATHERED", 300)
+    rows = [(i, t) for i, t in enumerate(copies(3, 60, 120, 9) + copies(4, 40, 10, 1) + copies(5, 30, 25, 3))]
+    rows += [(1000 + i, rows[0][1]) for i in range(50)] + [(None, rows[1][1]), (7, rows[7][1]), (7, rows[7][1])]
+    found = ngram_components(frame(rows).repartition(7), 5, (80, 100))
+    assert sorted(map(tuple, found.collect()), key=repr) == brute(rows, 5, 80, 100)
+
+
+def test_join_with_clashing_columns(frame):
+    rows = [(1, "a b c d", 1, 2, 3), (2, "a b c d", 1, 2, 3), (3, "e", 1, 2, 3)]
+    df = frame(rows, "doc_id long, text string, _row int, n_shingles int, component_id int")
+    assert sorted(map(tuple, ngram_components(df).collect())) == [(1, 2, 1), (2, 2, 1), (3, 1, 3)]
+
+
 def test_join_empty(frame):
     assert ngram_components(frame([])).count() == 0
     assert ngram_components(frame([(1, None), (2, "")])).filter("doc_id = component_id AND n_shingles = 0").count() == 2
@@ -88,8 +103,11 @@ def test_linked_sets_share_a_list():
                 if t > min(n, m):
                     continue
                 pool = rng.integers(0, 2**63, n + m - t).astype(np.uint64)
-                a, b = np.sort(pool[:n]), np.sort(pool[n - t :])
-                assert set(sizes.keys(a)) & set(sizes.keys(b)), (num, n, m)
+                for levels in (np.zeros(1 << ngram_join.LEVEL_BITS, np.uint8), rng.integers(0, 9, 1 << ngram_join.LEVEL_BITS).astype(np.uint8)):
+                    found = [sizes.entries(np.sort(x), levels) for x in (pool[:n], pool[n - t :])]
+                    list_, size, partner, level = (np.concatenate(c) for c in zip(*found, strict=True))
+                    member = np.repeat([1, 2], [len(x[0]) for x in found])
+                    assert len(ngram_join._reduced(list_, size, partner, member, level)[1]), (num, n, m)
 
 
 def test_components(spark):
