@@ -167,7 +167,8 @@ def train(docs: DataFrame, per_language: int = TRAINING_ROWS, id_column: str = "
 def identify(docs: DataFrame, coder: Coder, text_column: str = "text", ambiguous_below: float = 0.6) -> DataFrame:
     """docs with lang_pred, score (0 to 1) and ambiguous added (columns of these names are replaced).
 
-    A null text or one without a letter is `und` with score 1 and not ambiguous; so is any text if nothing was learned. Ambiguous: the
+    A null text or one without a letter is `und` with score 1 and not ambiguous. If nothing was learned, other texts have a null
+    lang_pred, score 0 and are ambiguous. An empty table gives no rows; rows that repeat are predicted alike. Ambiguous: the
     probability of the nearest codeword is below ambiguous_below, or a quarter of its bits disagree. Whole texts count.
     """
     names = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
@@ -185,12 +186,10 @@ def identify(docs: DataFrame, coder: Coder, text_column: str = "text", ambiguous
                 texts = [t or "" for t in part.column(at).to_pylist()]
                 margins, n = scorer.margins(texts)
                 lettered = n > 0
-                if coder.languages:
-                    best, p, wrong = coder.decode(margins)
-                else:
-                    best, p, wrong, lettered = np.zeros(len(n), int), np.ones(len(n)), np.zeros(len(n)), n < 0
-                lang = [coder.languages[b] if ok else UNDETERMINED for b, ok in zip(best, lettered, strict=True)]
+                languages = coder.languages or [None]
+                best, p, wrong = coder.decode(margins) if coder.languages else (np.zeros(len(n), int), np.zeros(len(n)), np.zeros(len(n)))
+                lang = pa.array([languages[b] if ok else UNDETERMINED for b, ok in zip(best, lettered, strict=True)], pa.string())
                 unsure = lettered & ((p < ambiguous_below) | (wrong > coder.code.shape[1] // 4))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang), pa.array(np.where(lettered, p, 1.0)), pa.array(unsure)], names=[*names, "lang_pred", "score", "ambiguous"])
+                yield pa.RecordBatch.from_arrays([*part.columns, lang, pa.array(np.where(lettered, p, 1.0)), pa.array(unsure)], names=[*names, "lang_pred", "score", "ambiguous"])
 
     return docs.select(*[f"`{n}`" for n in names]).mapInArrow(predict, schema)

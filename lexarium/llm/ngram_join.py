@@ -361,9 +361,13 @@ def ngram_components(
     id_column: str = "doc_id",
     text_column: str = "text",
     broadcast_rows: int = BROADCAST_ROWS,
+    with_rows: bool = False,
 ) -> DataFrame:
     """One row per row of docs: id, n_shingles (long), component_id: the smallest id reachable by links, the own included.
 
+    with_rows adds row1 and row2, the row_keys() of id and text, and kept (boolean): true for the row that stands for its component,
+    one of the smallest id, and for those that repeat its id and text; true for rows without a shingle.
+
     Sets of n-word shingles (fewer words: the sequence as one shingle) are linked from a Jaccard similarity of
     similarity[0] / similarity[1] on. Null and empty texts and those without words have no shingle, no link, and their own id as component.
     Rows of one id with different texts are different documents of one name; null ids take part, and a component of null ids only has
@@ -377,11 +381,11 @@ def ngram_components(
     family = written(components(_candidates(_entries(source, levels, "text", n, num, den))), "families")
 
     # One row stands for all rows of one set; only the texts of such rows are read again, and only in families.
-    classes = sets.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.min(F.struct("_row", "_row2")).alias("row"))
-    classes = written(classes.select("d1", "d2", "least", "n", "row._row", "row._row2"), "classes")
+    classes = sets.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row", "_row2")).alias("row"))
+    classes = written(classes.select("d1", "d2", "least", "n", "row"), "classes")
     family = family.select(F.col("node").alias("d1"), F.col("component").alias("family"))
     members = classes.join(F.broadcast(family) if small(family, broadcast_rows) else family, "d1")
-    members = written(members.select("d1", "d2", "_row", "_row2", "family").withColumn("node", F.monotonically_increasing_id()), "members")
+    members = written(members.select("d1", "d2", "row._row", "row._row2", "family").withColumn("node", F.monotonically_increasing_id()), "members")
     total = members.count()
     keys = members.select("_row", "_row2", "node", "family")
     texts = source.select(*row_keys("doc_id", "text"), text_of("text").alias("body"))
@@ -420,13 +424,15 @@ def ngram_components(
         parts = components(links)
 
     part = members.select("d1", "d2", "node").join(F.broadcast(parts) if small(parts, broadcast_rows) else parts, "node").select("d1", "d2", "component")
-    placed = written(classes.select("d1", "d2", "least", "n").join(F.broadcast(part) if small(part, broadcast_rows) else part, ["d1", "d2"], "left"), "placed")
-    least = placed.filter("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("component_least"), F.count(F.lit(1)).alias("n"))
+    placed = written(classes.select("d1", "d2", "least", "n", "row").join(F.broadcast(part) if small(part, broadcast_rows) else part, ["d1", "d2"], "left"), "placed")
+    least = placed.filter("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("component_least"), F.min("row").alias("component_row"), F.count(F.lit(1)).alias("n"))
     named = with_groups(placed.withColumnRenamed("n", "copies"), least, "component", total, broadcast_rows)
-    groups = written(named.select(F.struct("d1", "d2").alias("set"), F.col("copies").alias("n"), F.coalesce("component_least", "least").alias("component_id")), "groups")
+    groups = written(named.select(F.struct("d1", "d2").alias("set"), F.col("copies").alias("n"), F.coalesce("component_least", "least").alias("component_id"), F.coalesce("component_row", "row").alias("stays")), "groups")
     discard(family, classes, members, bodies, links, placed)
-    rows = sets.select("doc_id", "n_shingles", F.struct("d1", "d2").alias("set"))
+    rows = sets.select("doc_id", "n_shingles", F.struct("d1", "d2").alias("set"), F.col("_row").alias("row1"), F.col("_row2").alias("row2"))
     found = with_groups(rows.filter("n_shingles > 0"), groups, "set", sets.count(), broadcast_rows)
-    linked = found.select("doc_id", "n_shingles", "component_id")
-    alone = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).withColumnRenamed("doc_id", id_column)
+    kept = (F.col("row1") == F.col("stays._row")) & (F.col("row2") == F.col("stays._row2"))
+    linked = found.select("doc_id", "n_shingles", "component_id", "row1", "row2", kept.alias("kept"))
+    alone = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "row1", "row2", F.lit(True).alias("kept"))
+    out = linked.unionByName(alone).withColumnRenamed("doc_id", id_column)
+    return out if with_rows else out.drop("row1", "row2", "kept")
