@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexarium.llm import langid
-from lexarium.llm._shared import small, written
+from lexarium.llm._shared import row_keys, small, written
 from lexarium.llm.line_dedup import line_dedup
 from lexarium.llm.ngram_join import ngram_components
 from lexarium.llm.packing import best_fit_packing, token_pieces
@@ -26,10 +26,11 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a determinable language (null or without a letter); others carry the predicted language in lang."""
+    """Rejects texts without a determinable language (null or without a letter); others carry the predicted language in lang,
+    or keep theirs where no row has a label to learn from."""
     coder = langid.train(docs.filter(remainder() != 2))
-    found = langid.identify(docs, coder).filter(F.col("lang_pred") != langid.UNDETERMINED)
-    return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+    found = langid.identify(docs, coder).filter(~F.col("lang_pred").eqNullSafe(langid.UNDETERMINED))
+    return found.withColumn("lang", F.coalesce("lang_pred", "lang")).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,12 +40,21 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group that five-word shingles link at a similarity of 0.8 or more."""
-    found = ngram_components(docs, n=5, similarity=(80, 100))
-    gone = written(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct(), "near-duplicates-gone")
-    # Few dropped ids are broadcast, so that no text is shuffled; beyond that Spark joins by shuffling.
-    gone = F.broadcast(gone) if small(gone) else gone
-    return docs.select(*COLUMNS).join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """Keeps one document, of the smallest id, of each group that five-word shingles link at a similarity of 0.8 or more.
+
+    Rows go, not ids: another text of a dropped row's id stays. Of rows that repeat id and text one stays; texts without a word all stay.
+    """
+    found = written(ngram_components(docs, n=5, similarity=(80, 100), with_rows=True).select("n_shingles", "kept", "row1", "row2"), "near-duplicates")
+    gone = found.filter("NOT kept").select("row1", "row2").distinct()
+    again = found.filter("kept AND n_shingles > 0").groupBy("row1", "row2").count().filter("count > 1").select("row1", "row2")
+    # Few dropped rows are broadcast, so that no text is shuffled; beyond that Spark joins by shuffling.
+    near = lambda keys: F.broadcast(keys) if small(keys) else keys
+    rest = docs.select(*COLUMNS, *[k.alias(n) for k, n in zip(row_keys(), ("row1", "row2"), strict=True)]).join(near(gone), ["row1", "row2"], "left_anti")
+    if again.isEmpty():
+        return rest.select(*COLUMNS)
+    again = near(again)
+    once = rest.join(again, ["row1", "row2"], "left_semi").groupBy("row1", "row2").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return rest.join(again, ["row1", "row2"], "left_anti").select(*COLUMNS).unionByName(once)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
