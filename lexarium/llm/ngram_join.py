@@ -2,13 +2,15 @@
 
 Light sets (few shingles) enumerate the subsets of the size that a partner must share: sets with a common subset are
 candidates. Heavy sets scan inverted lists: a set's shingles are put into one order for all sets, frequent ones last, and the
-set stands in the lists of the first of them, as many as a linked set can lack and one more, so that two linked sets meet in the list
-of the first shingle that they share. An entry carries the set's size and the largest partner that the shingles from there on
-still allow; a list, read by size, links an entry to those before it only where that partner is large enough. The size where one way gives
-way to the other is where enumeration would cost more rows.
-
-Each task reduces a list to its runs before it is shuffled, and lists of frequent shingles are reduced in shares first, so
-that no list brings a row of each set to one task. Runs give the families that may be linked; inside a family all pairs are
+set stands in the lists of the first of them, as many as a linked set can lack and one more. Two linked sets meet in the list of the first
+shingle that they share, where what follows must be enough for both, and in as many more as their sizes demand: a list of a few
+entries gives its pairs, and pairs with enough hits are candidates. A longer list isn't paired: read by size, it is cut into
+runs wherever no set before allows a partner of the next one's size, and each run is one candidate; a pair is let off as many hits as
+either set stands in such lists. The size where
+subsets give way to lists is where enumeration would cost more rows.
+
+Each task reduces long lists to their runs before they are shuffled, and lists of frequent shingles are reduced in shares first, so
+that no list brings a row of each set to one task. Candidates give the families that may be linked; inside a family all pairs are
 verified exactly, in bounded groups: blocks of a large family first meet a few common anchors and their own members, and
 only what then stands apart from the family's largest part meets every block. Texts are read for members of families only.
 """
@@ -21,7 +23,7 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import BROADCAST_ROWS, discard, row_keys, small, text_of, written
@@ -36,6 +38,8 @@ KNOWN_WORDS, GATHERED = 1 << 19, 2_000_000
 LEVEL_BITS = 21
 #: Lists of shingles that were seen 2 ** HOT_LEVEL times or more are reduced in so many shares first.
 HOT_LEVEL, SHARES = 12, 64
+#: Entries of a list that gives its pairs; a longer one gives its runs. Entries of one list that a task holds before it reduces them.
+PAIRED, HELD = 32, 1 << 16
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
 
@@ -94,6 +98,13 @@ class Sizes:
         """The largest set that a set of n may be linked with if they share at most `rest` elements."""
         return rest * (self.num + self.den) // self.num - n
 
+    def hits(self, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """The least number of lists in which linked sets of n and m >= n elements meet.
+
+        Of the elements they share, the k-th stands behind at most n - shared others in one set and m - shared in the other.
+        """
+        return -(-self.num * (n + m) // (self.num + self.den)) + m * self.num // -self.den + 1
+
     def subset_rows(self, n: int) -> int:
         """How many subsets a light set of n emits."""
         return sum(comb(n, t) for m in range(self.least(n), self.most(n) + 1) if (t := self.shared(n, m)) <= min(n, m))
@@ -106,7 +117,7 @@ class Sizes:
         return n
 
     def entries(self, h: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(list, size, largest partner, level of the shingle) of each list in which a set (sorted hashes) stands."""
+        """(list, size, largest partner, level of the shingle) of each list in which a set (sorted hashes) stands; size 0: list of a subset."""
         n, out = len(h), []
         if n and n <= self.light:
             mixed = mix(h ^ _MIX[1])
@@ -191,30 +202,79 @@ def _levels(seen: DataFrame) -> np.ndarray:
     return out
 
 
-def _reduced(list_: np.ndarray, size: np.ndarray, partner: np.ndarray, member: np.ndarray, level: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """The runs of each list (list, size, partner, member, level) and the links (member, member) inside them.
+#: Columns of list entries: the set or run that stands there, its size and largest partner, and how many entries it stands for.
+ENTRY = ["list", "share", "size", "partner", "member", "stands"]
+FOUND = "a long, b long, needed int, placed boolean, list long, share int, size int, partner int, member long, stands int"
+
+
+def _reduced(entries: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The runs of each list as entries, and the links (member, member) inside them.
 
     A list's entries, by size, are one run as long as a set before allows a partner of the next one's size.
     """
-    order = np.lexsort((size, list_))
-    list_, size, partner, member, level = (x[order] for x in (list_, size, partner, member, level))
-    first = np.append(True, list_[1:] != list_[:-1])
+    list_, share, size, partner, member, stands = entries
+    order = np.lexsort((size, share, list_))
+    list_, share, size, partner, member, stands = (x[order] for x in (list_, share, size, partner, member, stands))
+    first = np.append(True, (list_[1:] != list_[:-1]) | (share[1:] != share[:-1]))[: len(list_)]
     part = np.cumsum(first) - 1
     step = int(partner.max(initial=0)) + 1
     reach = np.maximum.accumulate(partner + part * step) - part * step
     starts = first.copy()
     starts[1:] |= size[1:] > reach[:-1]
     at = np.flatnonzero(starts)
-    run = np.cumsum(starts) - 1
-    head = member[at][run]
+    if not len(at):
+        return [x[:0] for x in entries], np.zeros((0, 2), np.int64)
+    head = member[at][np.cumsum(starts) - 1]
     links = np.unique(np.column_stack([head, member])[head != member], axis=0)
-    return [list_[at], size[at], np.maximum.reduceat(partner, at) if len(at) else partner, member[at], level[at]], links
+    together = np.clip(np.add.reduceat(stands, at), PAIRED + 1, 1 << 30)
+    return [list_[at], share[at], size[at], np.maximum.reduceat(partner, at), member[at], together], links
+
+
+def _unpaired(entries: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The sets among entries of long lists that aren't reduced yet, and in how many lists each stands."""
+    return np.unique(entries[4][entries[5] == 1], return_counts=True)
+
+
+def _lengths(entries: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the lists of sorted entries begin, their numbers of entries and what they stand for."""
+    list_, share, stands = entries[0], entries[1], entries[5]
+    at = np.flatnonzero(np.append(True, (list_[1:] != list_[:-1]) | (share[1:] != share[:-1]))[: len(list_)])
+    return at, np.diff(np.append(at, len(list_))), np.add.reduceat(stands, at) if len(at) else stands
+
+
+def _sorted(entries: list[np.ndarray]) -> list[np.ndarray]:
+    """entries by list, share, size and member, without those that copies of a set repeat."""
+    list_, share, size, _, member, _ = entries
+    order = np.lexsort((member, size, share, list_))
+    entries = [x[order] for x in entries]
+    list_, share, _, _, member, _ = entries
+    stay = np.append(True, (list_[1:] != list_[:-1]) | (share[1:] != share[:-1]) | (member[1:] != member[:-1]))[: len(list_)]
+    return [x[stay] for x in entries]
+
+
+def _paired(entries: list[np.ndarray], at: np.ndarray, length: np.ndarray, sizes: Sizes) -> list[np.ndarray]:
+    """(a, b, hits needed, placed) of all pairs of lists of up to PAIRED entries that sizes allow.
+
+    placed: what follows this shingle is enough for both, which holds where linked sets first meet.
+    """
+    _, _, size, partner, member, _ = entries
+    out = [[np.zeros(0, np.int64)] * 4]
+    for n in np.unique(length):
+        starts = at[length == n]
+        for i, j in combinations(range(n), 2):
+            x, y = starts + i, starts + j
+            fits = size[y] <= sizes.most(size[x])
+            x, y = x[fits], y[fits]
+            placed = (size[y] <= partner[x]) & (size[x] <= partner[y])
+            out.append([np.minimum(member[x], member[y]), np.maximum(member[x], member[y]), sizes.hits(size[x], size[y]), placed])
+    return [np.concatenate(c) for c in zip(*out, strict=True)]
 
 
 def _entries(docs: DataFrame, levels: np.ndarray, text_column: str, n: int, num: int, den: int) -> DataFrame:
-    """(list, share, size, partner, member): the runs of all lists of a task, and its own links as lists of two.
+    """The entries of all lists, those of long lists reduced to the task's runs, and the task's own links as long lists of two.
 
-    share is -1 but for lists that are so frequent that they are reduced in shares first.
+    share is -1 but for lists that are so frequent that they are reduced in shares first. Rows of share -2 give for a set (list)
+    how many of its lists (size) were reduced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
@@ -224,25 +284,25 @@ def _entries(docs: DataFrame, levels: np.ndarray, text_column: str, n: int, num:
 
         shingler, sizes, levels = Shingler(n), Sizes(num, den), shared.value
         share = TaskContext.get().partitionId() % SHARES
-        gathered: list[tuple] = []
+        gathered: list[list[np.ndarray]] = []
         seen: set[tuple[int, int]] = set()
         held = 0
 
         def passed() -> pa.RecordBatch:
-            runs, links = _reduced(*(np.concatenate(c) for c in zip(*gathered, strict=True)))
+            every = _sorted([np.concatenate(c) for c in zip(*gathered, strict=True)])
+            at, length, _ = _lengths(every)
+            long_ = np.repeat(length > PAIRED, length)
+            runs, links = _reduced([x[long_] for x in every])
+            parts = [np.concatenate([x[~long_], y]) for x, y in zip(every, runs, strict=True)]
             # In order of members, so that equal ones stand together and the shuffle compresses them.
-            order = np.argsort(runs[3], kind="stable")
-            list_, size, partner, member, level = (x[order] for x in runs)
+            order = np.argsort(parts[4], kind="stable")
             link = mix(links[:, 0].astype(np.uint64) * _MIX[3] + links[:, 1].astype(np.uint64)).view(np.int64)
-            none = np.zeros(2 * len(links), np.int32)
-            columns = [
-                np.concatenate([list_, link, link]),
-                np.concatenate([np.where(level >= HOT_LEVEL, share, -1).astype(np.int32), none - 1]),
-                np.concatenate([size.astype(np.int32), none]),
-                np.concatenate([partner.astype(np.int32), none]),
-                np.concatenate([member, links[:, 0], links[:, 1]]),
-            ]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["list", "share", "size", "partner", "member"])
+            none = np.zeros(2 * len(links), np.int64)
+            linked = [np.concatenate([link, link]), none - 1, none, none, links.T.reshape(-1), none + PAIRED]
+            members, times = _unpaired([x[long_] for x in every])
+            counts = [members, np.full(len(members), -2), times, times * 0, members, times * 0]
+            columns = [np.concatenate(c) for c in zip([x[order] for x in parts], linked, counts, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64 if name in ("list", "member") else np.int32)) for c, name in zip(columns, ENTRY, strict=True)], names=ENTRY)
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -252,7 +312,8 @@ def _entries(docs: DataFrame, levels: np.ndarray, text_column: str, n: int, num:
                     continue
                 seen.add(digest)
                 list_, size, partner, level = sizes.entries(h, levels)
-                gathered.append((list_, size, partner, np.full(len(list_), digest[0]), level))
+                # A subset in common links its sets already: such lists count as long ones, which give their runs.
+                gathered.append([list_, np.where(level >= HOT_LEVEL, share, -1), size, partner, np.full(len(list_), digest[0]), np.where(size > 0, 1, PAIRED)])
                 held += len(list_)
                 if held > GATHERED:
                     yield passed()
@@ -262,29 +323,84 @@ def _entries(docs: DataFrame, levels: np.ndarray, text_column: str, n: int, num:
         if gathered:
             yield passed()
 
-    return docs.select(text_column).mapInArrow(entries, "list long, share int, size int, partner int, member long")
+    return docs.select(text_column).mapInArrow(entries, "list long, share int, size int, partner int, member long, stands int")
 
 
-def _runs(entries: DataFrame) -> DataFrame:
-    """entries with head: the first member of the run that the entry belongs to."""
-    before = Window.partitionBy("list", "share").orderBy("size", "member")
-    reach = F.max("partner").over(before.rowsBetween(Window.unboundedPreceding, -1))
-    marked = entries.withColumn("starts", reach.isNull() | (F.col("size") > reach))
-    head = F.last(F.when(F.col("starts"), F.col("member")), ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return marked.withColumn("head", head)
+def _read(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """What reading the lists gives: pairs (a, b, needed, placed), for sets of long lists (a) how many those are (needed; b is null),
+    and entries again for lists that were reduced in shares."""
+    tasks = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = entries.repartition(tasks, "list", "share").sortWithinPartitions("list", "share", "size", "member")
 
+    def read(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-def _candidates(entries: DataFrame) -> DataFrame:
-    """(a, b): the links of the runs of all lists; those of frequent shingles are reduced in shares, then as a whole."""
-    runs = _runs(entries).filter("member <> head OR share >= 0")
-    runs = written(runs.select("list", "share", "size", "partner", "member", "head").distinct(), "runs")
-    edges = runs.filter("member <> head").select(F.col("member").alias("a"), F.col("head").alias("b"))
-    shares = runs.filter("share >= 0")
-    if not shares.isEmpty():
-        whole = shares.groupBy("list", "share", "head").agg(F.min("size").alias("size"), F.max("partner").alias("partner"))
-        whole = _runs(whole.select("list", F.lit(-1).alias("share"), "size", "partner", F.col("head").alias("member")))
-        edges = edges.unionByName(whole.filter("member <> head").select(F.col("member").alias("a"), F.col("head").alias("b")))
-    return edges.distinct()
+        sizes = Sizes(num, den)
+        names = ["a", "b", "needed", "placed", *ENTRY]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+
+        def table(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+            rows = len(next(iter(columns.values())))
+            return pa.RecordBatch.from_arrays([pa.array(columns[c]).cast(t) if c in columns else pa.nulls(rows, t) for c, t in zip(names, kinds, strict=True)], names=names)
+
+        def linked(links: np.ndarray) -> pa.RecordBatch:
+            return table({"a": links.min(1, initial=2**63 - 1), "b": links.max(1, initial=-(2**63)), "needed": np.ones(len(links), np.int32), "placed": np.ones(len(links), bool)})
+
+        def unpaired(members: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+            return table({"a": members, "needed": times})
+
+        def done(entries: list[np.ndarray]) -> Iterator:
+            counts = entries[1] == -2
+            yield unpaired(entries[0][counts], entries[2][counts])
+            entries = _sorted([x[~counts] for x in entries])
+            at, length, stands = _lengths(entries)
+            hot, long_ = entries[1][at] >= 0, stands > PAIRED
+            short = ~hot & ~long_ & (length > 1)
+            pairs = _paired(entries, at[short], length[short], sizes)
+            yield table(dict(zip(names, pairs, strict=False)))
+            chosen = [x[np.repeat(long_, length)] for x in entries]
+            yield unpaired(*_unpaired(chosen))
+            runs, links = _reduced(chosen)
+            yield linked(links)
+            again = [np.concatenate([x[np.repeat(hot & ~long_, length)], y[runs[1] >= 0]]) for x, y in zip(entries, runs, strict=True)]
+            again[1] = again[1] * 0 - 1
+            yield table(dict(zip(ENTRY, again, strict=True)))
+
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            new = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+            held = new if held is None else [np.concatenate(c) for c in zip(held, new, strict=True)]
+            if not len(held[0]):
+                continue
+            last = (held[0] == held[0][-1]) & (held[1] == held[1][-1])
+            if not last.all():
+                yield from done([x[~last] for x in held])
+                held = [x[last] for x in held]
+            elif len(held[0]) > HELD and held[1][0] > -2:
+                held = _sorted(held)
+                if len(held[0]) > PAIRED:
+                    yield unpaired(*_unpaired(held))
+                    held, links = _reduced(held)
+                    yield linked(links)
+        if held is not None and len(held[0]):
+            yield from done(held)
+
+    return dealt.mapInArrow(read, FOUND)
+
+
+def _candidates(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): pairs that meet often enough in short lists, and the links of the runs of long ones."""
+    found = written(_read(entries, num, den), "lists")
+    rows = found.filter("a IS NOT NULL").select("a", "b", "needed", "placed")
+    again = found.filter("list IS NOT NULL").select(*ENTRY)
+    if not again.isEmpty():
+        rows = written(rows.unionByName(_read(again, num, den).filter("a IS NOT NULL").select("a", "b", "needed", "placed")), "lists")
+    let_off = written(rows.filter("b IS NULL").groupBy("a").agg(F.sum("needed").alias("off")), "let-off")
+    near = F.broadcast(let_off) if small(let_off) else let_off
+    pairs = rows.filter("b IS NOT NULL").groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits"), F.min("needed").alias("needed"), F.max("placed").alias("placed"))
+    both = pairs.filter("placed").join(near.withColumnRenamed("off", "off_a"), "a", "left").join(near.select(F.col("a").alias("b"), F.col("off").alias("off_b")), "b", "left")
+    off = F.least(F.coalesce("off_a", F.lit(0)), F.coalesce("off_b", F.lit(0)))
+    return both.filter(F.col("hits") + off >= F.col("needed")).select("a", "b")
 
 
 def linked_pairs(sets: list[np.ndarray], num: int, den: int, columns: int = 1 << 14) -> list[tuple[int, int]]:
@@ -378,7 +494,7 @@ def ngram_components(
     first = written(_sets(source, "doc_id", "text", n), "sets")
     sets = first.filter("bucket IS NULL").select("doc_id", "n_shingles", "d1", "d2", "_row", "_row2")
     levels = _levels(first.filter("bucket IS NOT NULL").select("bucket", "seen"))
-    family = written(components(_candidates(_entries(source, levels, "text", n, num, den))), "families")
+    family = written(components(_candidates(_entries(source, levels, "text", n, num, den), num, den)), "families")
 
     # One row stands for all rows of one set; only the texts of such rows are read again, and only in families.
     classes = sets.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row", "_row2")).alias("row"))

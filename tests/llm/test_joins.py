@@ -72,10 +72,13 @@ def test_join_with_large_families_and_shuffles(frame, monkeypatch):
     assert sorted(map(tuple, found.collect()), key=repr) == brute(rows, 3, 90, 100)
 
 
-def test_join_with_lists_reduced_in_shares(frame, monkeypatch):
+@pytest.mark.parametrize("paired", [2, 32])
+def test_join_with_lists_reduced_in_shares(frame, monkeypatch, paired):
     monkeypatch.setattr(ngram_join, "HOT_LEVEL", 0)
     monkeypatch.setattr(ngram_join, "GATHERED", 300)
-    rows = [(i, t) for i, t in enumerate(copies(3, 60, 120, 9) + copies(4, 40, 10, 1) + copies(5, 30, 25, 3))]
+    monkeypatch.setattr(ngram_join, "PAIRED", paired)
+    monkeypatch.setattr(ngram_join, "HELD", 20)
+    rows = [(i, t) for i, t in enumerate(copies(3, 60, 120, 9) + copies(4, 40, 10, 1) + copies(5, 30, 25, 3) + copies(6, 40, 60, 4))]
     rows += [(1000 + i, rows[0][1]) for i in range(50)] + [(None, rows[1][1]), (7, rows[7][1]), (7, rows[7][1])]
     found = ngram_components(frame(rows).repartition(7), 5, (80, 100))
     assert sorted(map(tuple, found.collect()), key=repr) == brute(rows, 5, 80, 100)
@@ -105,9 +108,16 @@ def test_linked_sets_share_a_list():
                 pool = rng.integers(0, 2**63, n + m - t).astype(np.uint64)
                 for levels in (np.zeros(1 << ngram_join.LEVEL_BITS, np.uint8), rng.integers(0, 9, 1 << ngram_join.LEVEL_BITS).astype(np.uint8)):
                     found = [sizes.entries(np.sort(x), levels) for x in (pool[:n], pool[n - t :])]
-                    list_, size, partner, level = (np.concatenate(c) for c in zip(*found, strict=True))
-                    member = np.repeat([1, 2], [len(x[0]) for x in found])
-                    assert len(ngram_join._reduced(list_, size, partner, member, level)[1]), (num, n, m)
+                    meet = set(found[0][0].tolist()) & set(found[1][0].tolist())
+                    list_, size, partner, _ = (np.concatenate(c) for c in zip(*found, strict=True))
+                    member, one = np.repeat([1, 2], [len(x[0]) for x in found]), np.ones(len(list_), np.int64)
+                    kept = np.isin(list_, list(meet))
+                    entries = ngram_join._sorted([x[kept] for x in (list_, one * -1, size, partner, member, one)])
+                    assert len(ngram_join._reduced(entries)[1]), (num, n, m)
+                    if not (size == 0).any():
+                        at, length, _ = ngram_join._lengths(entries)
+                        _, _, needed, placed = ngram_join._paired(entries, at, length, sizes)
+                        assert len(needed) >= needed.max() and placed.any(), (num, n, m)
 
 
 def test_components(spark):
