@@ -1,58 +1,82 @@
 """Exact top-k inner products by no-random-access aggregation over sorted coordinate lists.
 
-Candidates are dealt into blocks and queries into blocks; each cell of this grid is a bounded task. A cell keeps, for
-runs of candidates, one list per coordinate sorted by value. For a query all lists are read in step from the end that
-its sign favours. What has been read of a candidate gives a lower bound (the unread coordinates at the lists' worst
-values) and an upper bound (unread at the lists' current frontiers). Candidates, and all that no list has shown yet,
-are left behind once their upper bound is below the k-th best lower bound; reading stops when only as many as k are
-left or the lists end, and then the final scores of those left are resolved.
+Candidates are dealt into partitions and read in blocks; a block keeps one list per coordinate, of (value, candidate)
+sorted by value. For a query all lists are read in step, from the end that its sign favours, to growing depths. What has
+been read of a candidate adds up to a partial score; with it go a lower bound (unread coordinates at their lists' worst values) and an
+upper bound (unread ones at the lists' frontiers). Candidates, and with them all that no list has shown yet, are left
+behind once their upper bound is below the k-th best lower bound or the k-th best score of the blocks before. Reading
+stops when few are left or the lists end, and the final scores of those left are resolved.
+
+Queries go to the tasks in blocks of bounded size; candidates are never repeated.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Candidates and queries of one cell, and candidates whose lists are read together.
-BLOCK_CANDIDATES, BLOCK_QUERIES, RUN = 4096, 512, 1024
-#: Parts of the lists after which bounds are compared.
-DEPTHS = (0.55, 0.8)
+from ._shared import discard, written
+
+#: Candidates whose lists are read together, components of the queries that are sent to the tasks at once.
+BLOCK, SENT = 2048, 1 << 20
+#: Shares of the lists after which bounds are compared.
+DEPTHS = (0.25, 0.5, 0.625, 0.75, 0.875, 1.0)
+#: Candidates left that are resolved at once.
+LEFT = 64
 
 
 class SortedLists:
-    """A run of candidates: ids in ascending order, vectors, and each coordinate's sorted list."""
+    """A block of candidates and the list of each coordinate: values in ascending order and whose they are."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors, self.lists = ids, vectors, np.sort(vectors, axis=0)
-        self.every, self.ones = np.arange(len(ids)), np.ones(vectors.shape[1], vectors.dtype)
+        self.ids, self.vectors = ids, vectors
+        n, width = vectors.shape
+        whose = np.argsort(vectors, axis=0, kind="stable").T.astype(np.int32)
+        self.values = np.take_along_axis(vectors.T, whose, 1)
+        #: Lists from the greatest value down, then from the least up, as places in a table of candidates by coordinates.
+        place = whose * np.int32(width) + np.arange(width, dtype=np.int32)[:, None]
+        self.whose, self.place = (whose[:, ::-1].copy(), whose), (place[:, ::-1].copy(), place)
+        self.read = np.zeros(n * width, vectors.dtype)
 
     def top(self, query: np.ndarray, k: int, own: int, best: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        """The k best (-score, id) among best and the run's candidates other than own."""
-        n, up, ones = len(self.ids), query > 0, self.ones
+        """The k best (-score, id) among best and the block's candidates other than own."""
+        n, width = self.vectors.shape
+        down, asked = query > 0, np.flatnonzero(query)
         least = -best[k - 1][0] if len(best) >= k else None
-        alive = self.every if not (self.ids == own).any() else np.flatnonzero(self.ids != own)
-        parts = (self.vectors if alive is self.every else self.vectors[alive]) * query
-        worst = np.where(up, self.lists[0], self.lists[-1]) * query if least is None else None
+        alive = np.flatnonzero(self.ids != own)
+        partial = np.zeros(n, query.dtype)
+        worst = np.where(down, self.values[:, 0], self.values[:, -1]) * query if n else query
+        sides = [(0, np.flatnonzero(down)), (1, asked[~down[asked]])]
+        self.read[:] = 0
+        start = 0
         for depth in DEPTHS:
-            if not len(alive):
-                return best
-            if least is not None and len(alive) <= k:
+            if len(alive) <= (LEFT if least is not None else k):
                 break
-            at = min(n - 1, int(depth * n))
-            frontier = np.where(up, self.lists[n - 1 - at], self.lists[at]) * query
-            if worst is not None and len(alive) >= k:  # no k-th best is known yet from other runs
-                lower = np.where(parts >= frontier, parts, worst) @ ones
+            stop = max(start + 1, int(depth * n)) if depth < 1 else n
+            stop = min(stop, n)
+            for side, lists in sides:
+                if len(lists) and stop > start:
+                    run = self.values[lists, n - stop : n - start][:, ::-1] if side == 0 else self.values[lists, start:stop]
+                    gained = (run * query[lists, None]).ravel()
+                    whose = self.whose[side][lists, start:stop].ravel()
+                    if query.dtype == np.int64:
+                        np.add.at(partial, whose, gained)
+                    else:
+                        partial += np.bincount(whose, gained, n).astype(query.dtype)
+                    self.read[self.place[side][lists, start:stop].ravel()] = 1
+            start = stop
+            read = self.read.reshape(n, width)[alive]
+            frontier = np.where(down, self.values[:, n - stop], self.values[:, stop - 1]) * query
+            if len(alive) >= k and (least is None or len(best) < k):
+                lower = partial[alive] + worst.sum() - read @ worst
                 reached = np.partition(lower, len(lower) - k)[len(lower) - k]
                 least = reached if least is None else max(least, reached)
             if least is not None:
-                stay = np.maximum(parts, frontier) @ ones >= least
-                if not stay.all():
-                    alive, parts = alive[stay], parts[stay]
-        scores = parts @ ones
-        if least is not None:
-            stay = scores >= least
-            alive, scores = alive[stay], scores[stay]
+                alive = alive[partial[alive] + frontier.sum() - read @ frontier >= least]
+        scores = self.vectors[alive] @ query
         found = zip((-scores).astype(np.int64).tolist(), self.ids[alive].tolist(), strict=True)
         return sorted([*best, *found])[:k]
 
@@ -64,12 +88,56 @@ def _matrix(lists: list, width: int) -> np.ndarray:
     return out
 
 
+def _exact(x: np.ndarray, q: np.ndarray) -> type:
+    """The kind of number in which sums of products are exact: whole numbers below 2^24 (2^53) in 32-bit (64-bit) floating point, whose sums are faster."""
+    most = 2 * float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * x.shape[1]
+    return np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
+
+
 def quantised(embedding: Column, scale: int = 256) -> Column:
     """floor(scale * x) of each component; null where the vector or a component is null or not finite."""
     odd = F.exists(embedding, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return F.when(embedding.isNotNull() & ~odd, F.transform(embedding, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long")))
 
 
+def _tops(rows: DataFrame, asked: list, k: int) -> DataFrame:
+    """The k best candidates of each partition for each query (id, vector) of a block."""
+    shared = rows.sparkSession.sparkContext.broadcast(asked)
+
+    def search(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        asked = shared.value
+        best: list[list[tuple[int, int]]] = [[] for _ in asked]
+        ids: list[int] = []
+        vectors: list[list[int]] = []
+
+        def read() -> None:
+            width = max([0, *map(len, vectors), *(len(v) for _, v in asked)])
+            x, q = _matrix(vectors, width), _matrix([v for _, v in asked], width)
+            kind = _exact(x, q)
+            order = np.argsort(np.array(ids, np.int64), kind="stable")
+            block = SortedLists(np.array(ids, np.int64)[order], x.astype(kind)[order])
+            for i, ((own, _), query) in enumerate(zip(asked, q.astype(kind), strict=True)):
+                best[i] = block.top(query, k, own, best[i])
+
+        for batch in batches:
+            ids += batch.column(0).to_pylist()
+            vectors += batch.column(1).to_pylist()
+            while len(ids) >= 2 * BLOCK:
+                rest = ids[BLOCK:], vectors[BLOCK:]
+                ids, vectors = ids[:BLOCK], vectors[:BLOCK]
+                read()
+                ids, vectors = rest
+        if ids:
+            read()
+        found = [(own, i, -s) for (own, _), top in zip(asked, best, strict=True) for s, i in top]
+        columns = list(zip(*found, strict=True)) or [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+
+    return rows.select("vec_id", "v").mapInArrow(search, "query_id long, vec_id long, score long")
+
+
 def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """The k best candidates of each query: query_id, rank (from 1), vec_id, score (integer inner product of quantised vectors).
 
@@ -77,35 +145,17 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 2
     or has null or non-finite components, take no part. A shorter vector counts as padded with zeros. A row that repeats
     (id and vector) counts once. Scores must fit 64 bits. An empty table gives no rows; further columns are ignored.
     """
-    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), quantised(F.col(vector_column), scale).alias("v"), is_query.alias("q")).filter("v IS NOT NULL AND vec_id IS NOT NULL").distinct()
-    total, asked = rows.agg(F.count(F.lit(1)), F.count_if("q")).first()
-    blocks, query_blocks = max(1, -(-total // BLOCK_CANDIDATES)), max(1, -(-asked // BLOCK_QUERIES))
-    spread = F.xxhash64("vec_id", "v")
-    candidates = rows.select("vec_id", "v", F.pmod(spread, F.lit(blocks)).alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))).alias("b"))
-    queries = rows.filter("q").select("vec_id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("c"), F.pmod(spread, F.lit(query_blocks)).alias("b"))
-
-    def cell(left, right):
-        import pyarrow as pa
-
-        ids, found = np.array(left.column("vec_id").to_pylist(), np.int64), left.column("v").to_pylist()
-        asked_ids, asked_vectors = right.column("vec_id").to_pylist(), right.column("v").to_pylist()
-        width = max([0, *map(len, found), *map(len, asked_vectors)])
-        x, q = _matrix(found, width), _matrix(asked_vectors, width)
-        # Whole numbers below 2^24 (2^53) are exact in 32-bit (64-bit) floating point, whose sums are faster.
-        most = float(np.abs(x).max()) * float(np.abs(q).max()) * width if x.size and q.size else 0.0
-        kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
-        x, q = x.astype(kind), q.astype(kind)
-        order = np.argsort(ids, kind="stable")
-        runs = [SortedLists(ids[p], x[p]) for p in (order[i : i + RUN] for i in range(0, len(order), RUN))]
-        rows: list[tuple[int, int, int]] = []
-        for own, vector in zip(asked_ids, q, strict=True):
-            best: list[tuple[int, int]] = []
-            for run in runs:
-                best = run.top(vector, k, own, best)
-            rows += [(own, i, -s) for s, i in best]
-        columns = list(zip(*rows, strict=True)) or [[], [], []]
-        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
-
-    tops = candidates.groupBy("c", "b").cogroup(queries.groupBy("c", "b")).applyInArrow(cell, "query_id long, vec_id long, score long")
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), quantised(F.col(vector_column), scale).alias("v"), is_query.alias("q")).filter("v IS NOT NULL AND vec_id IS NOT NULL")
+    rows = written(rows.repartition(tasks, "vec_id").distinct(), "vectors")
+    components = rows.filter("q").agg(F.sum(F.size("v"))).first()[0] or 0
+    blocks = max(1, -(-components // SENT))
+    tops: DataFrame | None = None
+    for b in range(blocks):
+        asked = rows.filter("q") if blocks == 1 else rows.filter(F.col("q") & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b))
+        asked = [(r.vec_id, r.v) for r in asked.select("vec_id", "v").collect()]
+        found = written(_tops(rows, asked, k), "tops")
+        tops = found if tops is None else tops.unionByName(found)
+    discard(rows)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return tops.distinct().withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
