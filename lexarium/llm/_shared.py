@@ -75,6 +75,12 @@ def row_keys(id_column: str = "doc_id", text_column: str = "text") -> list[Colum
     return [F.xxhash64(*parts).alias("_row"), F.xxhash64(F.lit(11), *parts).alias("_row2")]
 
 
+def plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns c0, c1, .., which no operator's own names clash with, and what each column is called now."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most limit rows; counts no further than limit + 1."""
     return df.limit(limit + 1).count() <= limit

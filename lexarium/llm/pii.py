@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import BROADCAST_ROWS, row_keys, small, written
+from ._shared import BROADCAST_ROWS, plain, row_keys, small, text_of, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on either side of an entity that form its context.
@@ -83,21 +84,23 @@ def term_of(word: str) -> str:
     return word.strip(EDGES).lower()
 
 
-def _context(text: str, start: int, end: int, base: list[tuple[str, int, int]]) -> list[tuple[int, str]]:
-    """(start, term) of the whole words on either side; a word cut by the window, touching the span or in a base span is left out."""
-    low, high = max(0, start - 400), min(len(text), end + 400)
-    left = [(low + m.start(), m.group()) for m in _WORD.finditer(text[low:start])]
-    right = [(end + m.start(), m.group()) for m in _WORD.finditer(text[end:high])]
-    if left and left[0][0] == low and low and not text[low - 1].isspace():
-        left = left[1:]
-    if left and not text[start - 1].isspace():
-        left = left[:-1]
-    if right and not text[end].isspace():
-        right = right[1:]
-    if right and high < len(text) and not text[high - 1].isspace() and not text[high].isspace():
-        right = right[:-1]
-    words = left[-CONTEXT_WORDS:] + right[:CONTEXT_WORDS]
-    return [(at, t) for at, w in words if not any(s < at + len(w) and at < e for _, s, e in base) and len(t := term_of(w)) > 1]
+class Words:
+    """The words of a text, between white space, and which of them overlap base spans."""
+
+    def __init__(self, text: str, base: list[tuple[str, int, int]]):
+        found = [m.span() for m in _WORD.finditer(text)]
+        self.starts, self.ends = [s for s, _ in found], [e for _, e in found]
+        self.terms = [term_of(text[s:e]) for s, e in found]
+        self.covered = bytearray(len(found))
+        for _, start, end in base:
+            for i in range(bisect_right(self.ends, start), bisect_left(self.starts, end)):
+                self.covered[i] = 1
+
+    def context(self, start: int, end: int) -> list[tuple[int, str]]:
+        """(start, term) of the words on either side of a span; those that touch it or overlap a base span are left out."""
+        left, right = bisect_right(self.ends, start), bisect_left(self.starts, end)
+        near = [*range(max(0, left - CONTEXT_WORDS), left), *range(right, min(len(self.starts), right + CONTEXT_WORDS))]
+        return [(self.starts[i], t) for i in near if not self.covered[i] and len(t := self.terms[i]) > 1]
 
 
 def _hash(words: list[str]) -> int:
@@ -112,8 +115,9 @@ def _occurrences(text: str) -> tuple[list[tuple[str, int, int, str]], set[int]]:
     """
     rows, first = set(), {}
     base = base_spans(text)
+    inside = Words(text, base) if base else None
     for kind, start, end in base:
-        words = _context(text, start, end, base)
+        words = inside.context(start, end)
         context, entity = _hash([t for _, t in words]), f"{kind}:{text[start:end]}"
         rows.add((entity, context, context, ""))
         rows |= {(entity, context, first.setdefault(at, context), t) for at, t in words}
@@ -211,7 +215,9 @@ def _caps(terms: DataFrame) -> np.ndarray | None:
 
 
 def disclosing_terms(docs: DataFrame, share: float = 0.9, smoothing: float = 1.0, text_column: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame | None:
-    """The terms that reveal a protected entity, or None if there are none.
+    """The terms that reveal a protected entity, or None if there are none, as in an empty table.
+
+    Null texts count as empty; rows that repeat a text count once.
 
     A term reveals an entity if its pointwise mutual information with it, log2 p(entity | term) / p(entity), is at least
     `share` of the entity's information. p(entity | term) = (together + smoothing * p(entity)) / (n + smoothing), so that
@@ -270,17 +276,32 @@ def sanitised(text: str, spans: list[tuple[str, int, int]]) -> str:
 def _term_spans(text: str, terms: set[str], base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     if not any(term_of(w) in terms for w in set(text.split())):
         return []
-    out = []
-    for m in _WORD.finditer(text):
-        word = m.group()
-        if term_of(word) in terms:
-            start = m.start() + len(word) - len(word.lstrip(EDGES))
-            end = m.end() - (len(word) - len(word.rstrip(EDGES)))
-            if not any(s < end and start < e for _, s, e in base):
+    out, words = [], Words(text, base)
+    for start, end, term, covered in zip(words.starts, words.ends, words.terms, words.covered, strict=True):
+        if term in terms:
+            word = text[start:end]
+            start, end = start + len(word) - len(word.lstrip(EDGES)), end - len(word) + len(word.rstrip(EDGES))
+            if not covered or not any(s < end and start < e for _, s, e in base):
                 out.append(("term", start, end))
     return out
 
 
+def _terms_of_rows(docs: DataFrame, text: str) -> DataFrame:
+    """(_row, _row2, term) of each distinct term of each row."""
+
+    def split(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [sorted({term_of(w) for w in t.split()}) if t else [] for t in part.column(2).to_pylist()]
+                owner = np.repeat(np.arange(part.num_rows), [len(f) for f in found])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), part.column(1).take(pa.array(owner)), pa.array([t for f in found for t in f], pa.string())], names=["_row", "_row2", "term"])
+
+    return docs.select("_row", "_row2", text).mapInArrow(split, "_row long, _row2 long, term string")
+
+
 def find_pii(docs: DataFrame, terms: DataFrame | None, id_column: str = "doc_id", text_column: str = "text", with_text: bool = True, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """docs with pii (array of struct kind, start, end: code points, end exclusive; by start, then kind) and, if with_text, the sanitised text.
 
@@ -288,20 +309,22 @@ def find_pii(docs: DataFrame, terms: DataFrame | None, id_column: str = "doc_id"
     column named pii is replaced. terms: what disclosing_terms gave.
     """
     names = [c for c in docs.columns if c != "pii" and (with_text or c != text_column)]
+    source, called = plain(docs)
+    kept, text, own = [called[n] for n in names], called[text_column], False
     item = T.StructType().add("kind", "string").add("start", "integer").add("end", "integer")
-    out_schema = docs.select(*[f"`{n}`" for n in names]).schema.add("pii", T.ArrayType(item))
-    source, own = docs, False
+    out_schema = source.select(*kept).schema.add("pii", T.ArrayType(item))
     shared = None
     if terms is not None and small(terms, broadcast_rows):
         shared = docs.sparkSession.sparkContext.broadcast({r.term for r in terms.collect()})
     elif terms is not None:
-        keyed = docs.select("*", *row_keys(id_column, text_column))
-        words = keyed.select("_row", "_row2", F.explode(F.array_distinct(F.split(F.coalesce(text_column, F.lit("")), r"\s+"))).alias("_w"))
-        words = words.withColumn("term", F.lower(F.trim("_w", F.lit(EDGES))))
-        per_row = words.join(terms, "term", "left_semi").groupBy("_row", "_row2").agg(F.collect_set("term").alias("_terms"))
+        # Rows without text have no terms: their keys are scattered, so that they don't meet in one task.
+        row, row2 = row_keys(called[id_column], text)
+        blank = F.length(text_of(text)) == 0
+        keyed = source.select("*", F.when(blank, F.pmod(F.monotonically_increasing_id(), F.lit(4096))).otherwise(row).alias("_row"), F.when(blank, F.lit(0)).otherwise(row2).alias("_row2"))
+        per_row = _terms_of_rows(keyed, text).join(terms, "term", "left_semi").groupBy("_row", "_row2").agg(F.collect_set("term").alias("_terms"))
         source, own = keyed.join(per_row, ["_row", "_row2"], "left"), True
-    fields = [*names, *([] if with_text else [text_column]), *(["_terms"] if own else [])]
-    at = fields.index(text_column)
+    fields = [*kept, *([] if with_text else [text]), *(["_terms"] if own else [])]
+    at = fields.index(text)
 
     def mark(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -320,11 +343,11 @@ def find_pii(docs: DataFrame, terms: DataFrame | None, id_column: str = "doc_id"
                     if terms and text:
                         spans = sorted([*spans, *_term_spans(text, terms, spans)], key=lambda x: x[1])
                     found.append(spans)
-                columns = list(part.columns[: len(names)])
+                columns = list(part.columns[: len(kept)])
                 if with_text:
                     columns[at] = pa.array([sanitised(t, s) if s else t for t, s in zip(texts, found, strict=True)], pa.string())
                 columns.append(pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in spans] for spans in found], kind))
-                yield pa.RecordBatch.from_arrays(columns, names=[*names, "pii"])
-
-    return source.select(*[f"`{f}`" for f in fields]).mapInArrow(mark, out_schema)
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, "pii"])
 
+    marked = source.select(*fields).mapInArrow(mark, out_schema)
+    return marked.select(*[F.col(c).alias(n) for c, n in zip(kept, names, strict=True)], "pii")
