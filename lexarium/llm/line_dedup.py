@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import BROADCAST_ROWS, SPACES, lower_ascii, row_keys, small, text_of, written
+from ._shared import BROADCAST_ROWS, SPACES, lower_ascii, plain, row_keys, small, text_of, written
 
 HASH = ["h1", "h2"]
 ROW = ["_row", "_row2"]
@@ -129,8 +129,14 @@ def line_dedup(
     every line loses none, copy or not. With keep_copy only the row with the smallest id among exact copies of a text that
     would be left without a line other than blank ones loses none; a text without an exact copy keeps no frequent line.
     """
+    columns = docs.columns
+    docs, called = plain(docs)
+    id_column, text_column = called[id_column], called[text_column]
     frequent = frequent_lines(docs, min_documents, min_chars, text_column, batches, fanout)
-    keyed = docs.select("*", *row_keys(id_column, text_column))
+    # Rows without text lose no line: their keys are scattered, so that they don't meet in one task.
+    blank = F.length(text_of(text_column)) == 0
+    row, row2 = row_keys(id_column, text_column)
+    keyed = docs.select("*", F.when(blank, F.pmod(F.monotonically_increasing_id(), F.lit(4096))).otherwise(row).alias("_row"), F.when(blank, F.lit(0)).otherwise(row2).alias("_row2"))
     lines = keyed.select(*ROW, F.posexplode(F.split(text_of(text_column), "\n")).alias("_at", "_line"))
     lines = lines.withColumn("_key", line_key(F.col("_line"))).filter(F.length("_key") >= min_chars).select(*ROW, "_at", *key_hash(F.col("_key")))
     places = _marked(lines, frequent, broadcast_rows).groupBy(*ROW).agg(F.array_sort(F.collect_set("_at")).alias("_at"))
@@ -158,5 +164,5 @@ def line_dedup(
         "_lines": F.size(all_lines).cast("long"),
         "_dropped": F.coalesce("_n", F.lit(0).cast("long")),
     })
-    columns = [F.col("_kept").alias(c) if c == text_column else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return out.select(*columns, F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"))
+    kept = [F.col("_kept" if called[c] == text_column else called[c]).alias(c) for c in columns if c not in ("n_lines", "n_dropped")]
+    return out.select(*kept, F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import written
+from ._shared import plain, written
 from .bpe import byte_letters
 
 #: Distinct chunks of text in one generation of the cache of ids; bounds a worker's memory.
@@ -89,9 +89,11 @@ class ByteTokenizer:
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The pieces (doc_id, piece, start, length, ids_crc32, ids) of each document's tokens and the end id.
+    """The pieces (doc_id, piece, start, length, ids_crc32) of each document's tokens and the end id.
 
-    A document of more than capacity tokens is cut from its end into pieces of capacity; its first piece has the rest.
+    A document of more than capacity tokens is cut from its end into pieces of capacity; its first piece has the rest. A null or
+    empty text is the end id alone. Rows that repeat an id are documents of their own, null ids too; an empty table gives no
+    rows, and further columns are ignored.
     """
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -213,9 +215,12 @@ def best_fit_packing(pieces: DataFrame, capacity: int = 2048, slack: int = 16, s
 
     Sizes must be from 1 to capacity. Bins with at most slack tokens left count as full. An empty table gives no rows;
     repeated rows are packed each on their own; ties go by place in the partition. Columns named sequence_id and offset
-    are replaced, and pieces must not have columns named kind, bin, place or fill.
+    are replaced. The merge tree ends where a round no longer lowers the number of underfull bins, or after `rounds` rounds: each
+    divides that number by about BLOCK_ITEMS, so 12 leave none to merge, and what is left in the end are sequences of their own.
     """
-    pieces = written(pieces.drop("sequence_id", "offset"), "pieces")
+    pieces, called = plain(pieces.drop("sequence_id", "offset"))
+    size_column = called[size_column]
+    pieces = written(pieces, "pieces")
     columns = pieces.columns
     # Enough items in a task for bins to fill up; no more tasks than that, and no shuffle.
     items = pieces.coalesce(max(1, -(-pieces.count() // BLOCK_ITEMS)))
@@ -248,4 +253,4 @@ def best_fit_packing(pieces: DataFrame, capacity: int = 2048, slack: int = 16, s
         if doubled.filter("went").isEmpty():
             break
     out = _moved(placed, steps)
-    return out.select(*columns, F.col("bin").alias("sequence_id"), F.col("place").alias("offset"))
+    return out.select(*[F.col(c).alias(n) for n, c in called.items()], F.col("bin").alias("sequence_id"), F.col("place").alias("offset"))

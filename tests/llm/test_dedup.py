@@ -92,3 +92,11 @@ def test_line_dedup_empty_and_clashing_columns(frame):
     assert line_dedup(frame([])).count() == 0
     df = frame([(1, "a", 5, "x")], "doc_id long, text string, n_lines int, h1 string")
     assert line_dedup(df).columns == ["doc_id", "text", "h1", "n_lines", "n_dropped"]
+
+
+def test_line_dedup_keeps_columns_named_like_its_own(frame):
+    rows = [(1, "a\nb", 1, 2, 3), (2, "a", 1, 2, 3), (None, None, 1, 2, 3), (None, None, 1, 2, 3)]
+    df = frame(rows, "doc_id long, text string, _row int, _gone int, c0 int")
+    out = line_dedup(df, 2)
+    assert out.columns == ["doc_id", "text", "_row", "_gone", "c0", "n_lines", "n_dropped"]
+    assert found(out) == sorted([(1, "b", 1, 2, 3, 2, 1), (2, "", 1, 2, 3, 1, 1), (None, "", 1, 2, 3, 1, 0), (None, "", 1, 2, 3, 1, 0)], key=repr)
