@@ -8,6 +8,7 @@ n-grams, which add up over words, so each distinct word is looked at once.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 from functools import cache
 from itertools import combinations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 TRAINING_ROWS = 1500
 #: Hashed n-grams of 1 to 4 letters, word edges included.
 BUCKETS, LONGEST = 1 << 17, 4
-#: Training texts, and n-grams of one, from which the scale of margins is taken.
-SCALE_ROWS, SCALE_GRAMS = 400, 20_000
+#: Training texts of each language, by the least hash, from which the scale of margins is taken (whole texts).
+SCALE_ROWS = 100
 #: Words in a worker's table of margins.
 TABLE_WORDS = 1 << 19
 UNDETERMINED = "und"
@@ -90,20 +91,23 @@ class Coder:
         if not languages:
             return cls([], code, np.zeros((BUCKETS, 1), np.float32), 1.0)
         sums = np.zeros((len(languages), BUCKETS))
-        docs = []
+        docs: list[list[tuple]] = [[] for _ in languages]
         for text, lang in examples:
             found, _ = grams(text.lower())
             if len(found):
-                sums[languages.index(lang)] += np.bincount(found, minlength=BUCKETS) / len(found)
-                if len(docs) < SCALE_ROWS:
-                    docs.append((found[:SCALE_GRAMS].astype(np.int32), languages.index(lang)))
+                y = languages.index(lang)
+                buckets, times = np.unique(found, return_counts=True)
+                sums[y, buckets] += times / len(found)
+                docs[y].append((zlib.crc32(text.encode("utf-8", "replace")), len(found), buckets.astype(np.int32), (times / len(found)).astype(np.float32)))
+                if len(docs[y]) >= 2 * SCALE_ROWS:
+                    docs[y] = sorted(docs[y], key=lambda d: d[:2])[:SCALE_ROWS]
         rates = (sums + 1e-7) / (sums.sum(1, keepdims=True) + 1e-7 * BUCKETS)
         weights = np.zeros((BUCKETS, code.shape[1]), np.float32)
         for b in range(code.shape[1]):
             one, other = rates[code[:, b] > 0], rates[code[:, b] < 0]
             if len(one) and len(other):
                 weights[:, b] = np.clip(np.log(one.mean(0)) - np.log(other.mean(0)), -4, 4)
-        margins = np.array([weights[found].mean(0) * code[y] for found, y in docs])
+        margins = np.array([share @ weights[buckets] * code[y] for y, of in enumerate(docs) for _, _, buckets, share in sorted(of, key=lambda d: d[:2])[:SCALE_ROWS]])
         # A document's margin is sharpened so that a typical one decides its bit clearly.
         scale = 4 / max(1e-6, float(np.median(margins))) if margins.size else 1.0
         return cls(languages, code, weights, scale)
@@ -156,12 +160,22 @@ class Scorer:
 
 
 def train(docs: DataFrame, per_language: int = TRAINING_ROWS, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang") -> Coder:
-    """Trains on at most about per_language rows of each language, drawn evenly by a hash of the id."""
+    """Trains on at most about per_language rows of each language, drawn evenly by a hash of id and text.
+
+    Rows that repeat id and text count once, so null and repeated ids don't change the bound. Rows without a label, or whose text is null or
+    has no letter, don't count; without any other nothing is learned. Further columns are ignored.
+    """
     labelled = docs.select(F.col(id_column).alias("i"), F.col(text_column).alias("text"), F.col(label_column).alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = labelled.groupBy("lang").count()
-    quota = counts.withColumn("_below", F.least(F.lit(1.0), per_language / F.col("count")) * 1_000_000)
-    drawn = labelled.join(F.broadcast(quota.select("lang", "_below")), "lang").filter(F.pmod(F.xxhash64("i", F.lit("langid")), F.lit(1_000_000)) < F.col("_below"))
-    return Coder.trained((r.text, r.lang) for r in drawn.select("text", "lang").toLocalIterator())
+    labelled = labelled.withColumn("h", F.xxhash64("i", "text", F.lit("langid")))
+    counts = labelled.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    quota = {r.lang: min(1.0, per_language / max(1, r.n)) for r in counts.collect()}
+    if not quota:
+        return Coder.trained([])
+    least = min(quota.values())
+    # One row a label; the labels are the classes of the model, which the driver holds anyway.
+    below = F.coalesce(F.element_at(F.map_from_arrays(F.array(*map(F.lit, quota)), F.array(*map(F.lit, quota.values()))), F.col("lang")), F.lit(least)) * 1_000_000
+    drawn = labelled.filter(F.pmod("h", F.lit(1_000_000)) < below).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    return Coder.trained((r.text, r.lang) for r in drawn.select("text", "lang").orderBy("h").toLocalIterator())
 
 
 def identify(docs: DataFrame, coder: Coder, text_column: str = "text", ambiguous_below: float = 0.6) -> DataFrame:
