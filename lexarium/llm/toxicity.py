@@ -25,6 +25,9 @@ WINDOW = 6
 SHORTEST_STEM, TABLE_CHUNKS = 4, 400_000
 QUOTES = frozenset("\"'“”„‟«»‹›‘’`")
 _WORDS = re.compile(r"[^\W\d_]+")
+_EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
+#: Letters, digits and signs of a chunk that may be one misspelled term.
+LONGEST_SPELLING = 32
 
 
 def edits(term: str) -> int:
@@ -252,7 +255,10 @@ class Finder:
         """The terms of the chunk's words and the edits of each, and the first word that hits."""
         out: dict[str, int] = {}
         form = ""
-        for word in [chunk] if chunk.isalpha() else _WORDS.findall(chunk):
+        words = [chunk] if chunk.isalpha() else _WORDS.findall(chunk)
+        if len(words) > 1 and len(inside := _EDGES.sub("", chunk)) <= LONGEST_SPELLING:
+            words.append(inside)  # digits and signs inside stand for letters
+        for word in words:
             for term, used in self.automaton.run(word).items():
                 out[term] = min(used, out.get(term, 9))
                 form = form or word
@@ -281,7 +287,8 @@ class Finder:
 def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAINING_ROWS, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> ToxicityModel:
     """Trains on at most about per_class rows of either label, drawn evenly by a hash of the id.
 
-    Ids without a label or a text don't count; of an id labelled more than once the greatest label holds.
+    Ids without a label or a text don't count; of an id labelled more than once the greatest label holds, and of an id with
+    several texts the one of the least hash. Without both labels nothing is learned.
     """
     marks = labels.filter(F.col(id_column).isNotNull() & F.col(label_column).isNotNull()).groupBy(F.col(id_column).alias("i")).agg(F.max(F.when(F.col(label_column) > 0, 1).otherwise(0)).alias("y"))
     counts = {r.y: r["count"] for r in marks.groupBy("y").count().collect()}
@@ -290,7 +297,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAINING_ROWS, id
     drawn = marks.filter(F.pmod(F.xxhash64("i", F.lit("toxicity")), F.lit(1_000_000)) < below)
     texts = docs.select(F.col(id_column).alias("i"), F.col(text_column).alias("text")).filter("text IS NOT NULL")
     # At most about twice per_class ids are drawn, whatever the size of the tables: broadcast, and no text is shuffled.
-    rows = [(r.text, r.y) for r in texts.join(F.broadcast(drawn), "i").select("text", "y").toLocalIterator()]
+    one = texts.join(F.broadcast(drawn), "i").groupBy("i").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("y").alias("y"))
+    rows = [(r.text, r.y) for r in one.orderBy("i").toLocalIterator()]
     return ToxicityModel.trained(rows, (1 / share.get(0, 1.0), 1 / share.get(1, 1.0)))
 
 
