@@ -140,7 +140,45 @@ def test_disclosing_terms_of_rare_entities_copies_and_digits(frame):
     rows += [(990, f"{prose()} often write she@corp.example.com {prose()}")]
     for limit in (0, 1000):
         assert {r.term for r in pii.disclosing_terms(frame(rows), broadcast_rows=limit).collect()} == {"zorblax", "quuxly", "case77x4"}
-    assert pii._context("ab me@x.com, next +49 30 123456789 end", 3, 11, pii.base_spans("ab me@x.com, next +49 30 123456789 end")) == [(0, "ab"), (13, "next"), (35, "end")]
+    text = "ab me@x.com, next +49 30 123456789 end"
+    assert pii.Words(text, pii.base_spans(text)).context(3, 11) == [(0, "ab"), (13, "next"), (35, "end")]
+    long_ = "語" * 3000
+    assert pii.Words(f"{long_} me@x.com x", [("email", 3001, 3009)]).context(3001, 3009) == [(0, long_)]
+
+
+def test_terms_do_not_depend_on_their_number(frame):
+    rows = [(1, "one two\xa0zorblax"), (2, None), (None, ""), (2, None), (3, "ZORBLAX. x\x1czorblax")]
+    df = frame(rows).selectExpr("*", "1 AS _row", "'t' AS _terms", "2 AS pii")
+    found = []
+    for limit in (1000, 0):
+        terms = df.sparkSession.createDataFrame([("zorblax",)], "term string")
+        out = pii.find_pii(df, terms, broadcast_rows=limit)
+        assert out.columns == ["doc_id", "text", "_row", "_terms", "pii"]
+        found.append(sorted(((r.doc_id, r.text, [tuple(x) for x in r.pii]) for r in out.collect()), key=repr))
+    assert found[0] == found[1] and sum(len(x) for *_, x in found[0]) == 3
+
+
+def test_language_training_is_bounded_and_needs_labels(frame):
+    rows = [(None, "the cat is here", "en", "x")] * 400 + [(i, f"le chat est là {i}", "fr", "x") for i in range(50)]
+    df = frame(rows, "doc_id long, text string, lang string, h string")
+    seen = []
+    trained, langid.Coder.trained = langid.Coder.trained, lambda examples: seen.append(list(examples))
+    try:
+        langid.train(df, per_language=20)
+        langid.train(df.filter("lang IS NULL"))
+    finally:
+        langid.Coder.trained = trained
+    assert len([1 for _, lang in seen[0] if lang == "en"]) <= 1 and 1 <= len(seen[0]) <= 50 and not seen[1]
+    found = {r.text: r.lang_pred for r in langid.identify(frame([(1, "abc"), (2, "12"), (3, None)]), langid.Coder.trained([])).collect()}
+    assert found == {"abc": None, "12": "und", None: "und"}
+
+
+def test_spellings_with_digits_and_signs(frame):
+    rng = np.random.default_rng(5)
+    text = lambda: " ".join(rng.choice(["lorem", "dolor", "amet", "quis", "elit"], 40))
+    model = toxicity.ToxicityModel.trained([(f"{text()} you idiot {text()}", 1) for _ in range(30)] + [(text(), 0) for _ in range(90)])
+    scores = [r.predicted for r in toxicity.score_toxicity(frame([(1, f"{text()} id1ot {text()}"), (2, f"{text()} (idi*t), {text()}"), (3, text() + " a1b it's")]), model).orderBy("doc_id").collect()]
+    assert scores == [1, 1, 0]
 
 
 @pytest.fixture(scope="module")
