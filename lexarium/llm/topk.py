@@ -5,9 +5,10 @@ sorted by value. For a query all lists are read in step, from the end that its s
 been read of a candidate adds up to a partial score; with it go a lower bound (unread coordinates at their lists' worst values) and an
 upper bound (unread ones at the lists' frontiers). Candidates, and with them all that no list has shown yet, are left
 behind once their upper bound is below the k-th best lower bound or the k-th best score of the blocks before. Reading
-stops when few are left or the lists end, and the final scores of those left are resolved.
+stops for a query when few are left or the lists end, and the final scores of those left are resolved.
 
-Queries go to the tasks in blocks of bounded size; candidates are never repeated.
+A group of queries reads together: each stretch of a list adds to the partial scores of all that read it from that end. Queries go to
+the tasks in blocks of bounded size; candidates are never repeated.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ from pyspark.sql import functions as F
 from ._shared import discard, written
 
 #: Candidates whose lists are read together, components of the queries that are sent to the tasks at once.
-BLOCK, SENT = 2048, 1 << 20
+BLOCK, SENT = 1024, 1 << 20
 #: Shares of the lists after which bounds are compared.
-DEPTHS = (0.25, 0.5, 0.625, 0.75, 0.875, 1.0)
+DEPTHS = (0.5, 0.6, 0.7, 0.85, 1.0)
 #: Candidates left that are resolved at once.
-LEFT = 64
+LEFT = 128
+#: Queries that read the lists of a block together.
+TOGETHER = 64
 
 
 class SortedLists:
@@ -33,52 +36,55 @@ class SortedLists:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        n, width = vectors.shape
-        whose = np.argsort(vectors, axis=0, kind="stable").T.astype(np.int32)
-        self.values = np.take_along_axis(vectors.T, whose, 1)
-        #: Lists from the greatest value down, then from the least up, as places in a table of candidates by coordinates.
-        place = whose * np.int32(width) + np.arange(width, dtype=np.int32)[:, None]
-        self.whose, self.place = (whose[:, ::-1].copy(), whose), (place[:, ::-1].copy(), place)
-        self.read = np.zeros(n * width, vectors.dtype)
-
-    def top(self, query: np.ndarray, k: int, own: int, best: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        """The k best (-score, id) among best and the block's candidates other than own."""
+        self.whose = np.argsort(vectors, axis=0, kind="stable").T.copy()
+        self.values = np.take_along_axis(vectors.T, self.whose, 1)
+        rank = np.empty_like(self.whose)
+        np.put_along_axis(rank, self.whose, np.arange(len(ids))[None, :], 1)
+        self.rank = rank.T.copy()
+
+    def tops(self, queries: np.ndarray, k: int, owns: list[int], bests: list[list[tuple[int, int]]]) -> None:
+        """Brings bests up to date: the k best (-score, id) of each query among those before and the block's candidates but its own."""
         n, width = self.vectors.shape
-        down, asked = query > 0, np.flatnonzero(query)
-        least = -best[k - 1][0] if len(best) >= k else None
-        alive = np.flatnonzero(self.ids != own)
-        partial = np.zeros(n, query.dtype)
-        worst = np.where(down, self.values[:, 0], self.values[:, -1]) * query if n else query
-        sides = [(0, np.flatnonzero(down)), (1, asked[~down[asked]])]
-        self.read[:] = 0
+        going = np.arange(len(queries))
+        least = np.array([-best[k - 1][0] if len(best) >= k else -np.inf for best in bests])
+        up, down = np.maximum(queries, 0).T.copy(), np.minimum(queries, 0).T.copy()  # coordinates by queries
+        partial = np.zeros((n, len(queries)), queries.dtype)
+        alive = self.ids[:, None] != np.array(owns, np.int64)[None, :]
         start = 0
         for depth in DEPTHS:
-            if len(alive) <= (LEFT if least is not None else k):
+            stop = min(n, max(start + 1, int(depth * n)))
+            if start == n:
                 break
-            stop = max(start + 1, int(depth * n)) if depth < 1 else n
-            stop = min(stop, n)
-            for side, lists in sides:
-                if len(lists) and stop > start:
-                    run = self.values[lists, n - stop : n - start][:, ::-1] if side == 0 else self.values[lists, start:stop]
-                    gained = (run * query[lists, None]).ravel()
-                    whose = self.whose[side][lists, start:stop].ravel()
-                    if query.dtype == np.int64:
-                        np.add.at(partial, whose, gained)
-                    else:
-                        partial += np.bincount(whose, gained, n).astype(query.dtype)
-                    self.read[self.place[side][lists, start:stop].ravel()] = 1
+            for d in range(width):
+                if up[d].any():
+                    read = self.whose[d, n - stop : n - start]
+                    partial[read] += self.values[d, n - stop : n - start, None] * up[d]
+                if down[d].any():
+                    read = self.whose[d, start:stop]
+                    partial[read] += self.values[d, start:stop, None] * down[d]
             start = stop
-            read = self.read.reshape(n, width)[alive]
-            frontier = np.where(down, self.values[:, n - stop], self.values[:, stop - 1]) * query
-            if len(alive) >= k and (least is None or len(best) < k):
-                lower = partial[alive] + worst.sum() - read @ worst
-                reached = np.partition(lower, len(lower) - k)[len(lower) - k]
-                least = reached if least is None else max(least, reached)
-            if least is not None:
-                alive = alive[partial[alive] + frontier.sum() - read @ frontier >= least]
-        scores = self.vectors[alive] @ query
-        found = zip((-scores).astype(np.int64).tolist(), self.ids[alive].tolist(), strict=True)
-        return sorted([*best, *found])[:k]
+            from_top, from_bottom = (self.rank < n - stop).astype(queries.dtype), (self.rank >= stop).astype(queries.dtype)  # not read yet
+
+            def bound(top: np.ndarray, bottom: np.ndarray) -> np.ndarray:
+                """What is read, and the coordinates that aren't at these values."""
+                return partial + from_top @ (top[:, None] * up) + from_bottom @ (bottom[:, None] * down)  # noqa: B023
+
+            unknown = np.flatnonzero(np.array([len(bests[g]) < k for g in going]))
+            if len(unknown):
+                lower = np.where(alive, bound(self.values[:, 0], self.values[:, -1]).astype(np.float64), -np.inf)[:, unknown]
+                if n >= k:
+                    least[unknown] = np.maximum(least[unknown], np.partition(lower, n - k, axis=0)[n - k])
+            alive &= bound(self.values[:, n - stop], self.values[:, stop - 1]) >= least
+            left = alive.sum(0)
+            done = (left <= LEFT) | (stop == n)
+            for j in np.flatnonzero(done):
+                g, rows = going[j], np.flatnonzero(alive[:, j])
+                scores = self.vectors[rows] @ queries[g]
+                found = zip((-scores).astype(np.int64).tolist(), self.ids[rows].tolist(), strict=True)
+                bests[g] = sorted([*bests[g], *found])[:k]
+            if done.all():
+                break
+            going, least, up, down, partial, alive = going[~done], least[~done], up[:, ~done], down[:, ~done], partial[:, ~done], alive[:, ~done]
 
 
 def _matrix(lists: list, width: int) -> np.ndarray:
@@ -118,8 +124,10 @@ def _tops(rows: DataFrame, asked: list, k: int) -> DataFrame:
             kind = _exact(x, q)
             order = np.argsort(np.array(ids, np.int64), kind="stable")
             block = SortedLists(np.array(ids, np.int64)[order], x.astype(kind)[order])
-            for i, ((own, _), query) in enumerate(zip(asked, q.astype(kind), strict=True)):
-                best[i] = block.top(query, k, own, best[i])
+            for at in range(0, len(asked), TOGETHER):
+                part = best[at : at + TOGETHER]
+                block.tops(q[at : at + TOGETHER].astype(kind), k, [own for own, _ in asked[at : at + TOGETHER]], part)
+                best[at : at + TOGETHER] = part
 
         for batch in batches:
             ids += batch.column(0).to_pylist()
