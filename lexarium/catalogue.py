@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import relational, text
+from .plans import archive, relational, text
 
-MODULES = (relational, text)
+MODULES = (relational, text, archive)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -15,11 +15,9 @@ AUTHORITY_WEIGHTS = {"UKSC": 2.0, "UKHL": 1.9, "UKPC": 1.8, "EWCA": 1.6, "CSIH":
 CACHE_PRIORITIES = {"UKSC": 10, "UKHL": 9, "EWCA": 8, "EWHC": 7, "UKUT": 6, "UKFTT": 5}
 VALID_COURTS = ["UKSC", "UKHL", "UKPC", "EWCA", "EWHC", "EWCOP", "EWFC", "UKUT", "UKFTT", "UKEAT", "UKET"]
 JSON_COURTS = ["UKSC", "UKPC", "EWCA", "EWHC", "EWCOP", "EWFC", "EAT", "UKUT", "UKFTT"]
-NEUTRAL_COURTS = "UKSC UKHL UKPC EWCA EWHC EWCOP EWFC UKUT UKFTT UKEAT UKET SCSC SSCS HESC AACR NICty NICA NIQB CSOH CSIH SAC SLT SC SCLR".split()
-REPORT_SERIES = [r"WLR", r"All\s*ER", r"AC", r"Ch", r"QB", r"Cr\s*App\s*R", r"Lloyd's\s*Rep", r"BCLC", r"BCC", r"IRLR", r"ICR", r"PIQR", r"RTR", r"Fam", r"FLR", r"FCR", r"CMLR", r"ECR", r"SLT", r"SC", r"SCLR"]
 # Citation patterns (numbered groups; the same in Java and Python).
-NEUTRAL = r"\[((?:19|20)\d{2})\]\s+(" + "|".join(NEUTRAL_COURTS) + r")\s+(\d+)(?:\s*\(([^)]+)\))?"
-LAW_REPORT = r"\[((?:19|20)\d{2})\]\s+(\d+)\s+(" + "|".join(REPORT_SERIES) + r")\s+(\d+)"
+NEUTRAL = r"\[((?:19|20)\d{2})\]\s+(UKSC|UKHL|UKPC|EWCA|EWHC|EWCOP|EWFC|UKUT|UKFTT|UKEAT|UKET|SCSC|SSCS|HESC|AACR|NICty|NICA|NIQB|CSOH|CSIH|SAC|SLT|SC|SCLR)\s+(\d+)(?:\s*\(([^)]+)\))?"
+LAW_REPORT = r"\[((?:19|20)\d{2})\]\s+(\d+)\s+(WLR|All\s*ER|AC|Ch|QB|Cr\s*App\s*R|Lloyd's\s*Rep|BCLC|BCC|IRLR|ICR|PIQR|RTR|Fam|FLR|FCR|CMLR|ECR|SLT|SC|SCLR)\s+(\d+)"
 
 
 def looked_up(key: Column | str, table: dict, default) -> Column:

@@ -10,9 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that an index leaves out.
-STOP_WORDS = (
-    "the a an and or but in on at to for of with by is are was were be been being have has had do does did will would could should may might can".split()
-)
+STOP_WORDS = ["the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "can"]
 #: The vectoriser's list adds these.
 VECTOR_STOP_WORDS = [*STOP_WORDS, "this", "that", "these", "those"]
 

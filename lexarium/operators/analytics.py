@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,3 +137,45 @@ def seasonal(series: DataFrame, least: int = 12) -> DataFrame:
     """Mean by calendar month of metrics with at least so many points."""
     enough = series.groupBy("metric").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least).select("metric")
     return series.join(enough, "metric", "left_semi").groupBy("metric", F.month("ts").alias("month")).agg(F.avg("value").alias("mean"))
+
+
+def court_citations(judgments: DataFrame, edges: DataFrame) -> DataFrame:
+    """(court, made, received): citations by and of each court's judgments; each side is counted before it is joined."""
+    made = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("m"))
+    received = edges.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("r"))
+    both = judgments.select("id", "court").join(made, "id", "left").join(received, "id", "left")
+    return both.groupBy("court").agg(F.sum(F.coalesce("m", F.lit(0))).alias("made"), F.sum(F.coalesce("r", F.lit(0))).alias("received"))
+
+
+def group_details(judgments: DataFrame, key: str, bridge_judges: DataFrame, bridge_areas: DataFrame) -> DataFrame:
+    """(key, n, avg_words, earliest, latest, judges, areas): range of dates and distinct judges and areas of each group."""
+    base = judgments.groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n"), F.avg("word_count").alias("avg_words"), F.min("judgment_date").alias("earliest"), F.max("judgment_date").alias("latest"))
+    keys = judgments.select(F.col("id").alias("judgment_id"), F.col(key).alias("key"))
+    judges = bridge_judges.join(keys, "judgment_id").groupBy("key").agg(F.count_distinct("judge_id").alias("judges"))
+    areas = bridge_areas.join(keys, "judgment_id").groupBy("key").agg(F.count_distinct("area").alias("areas"))
+    out = base.join(judges, "key", "left").join(areas, "key", "left")
+    return out.withColumns({x: F.coalesce(x, F.lit(0).cast("long")) for x in ("judges", "areas")})
+
+
+def judge_panels(bridge: DataFrame) -> DataFrame:
+    """(judge_id, n, mean_panel): judgments of each judge and how many judges sat on them on average."""
+    sizes = bridge.groupBy("judgment_id").agg(F.count(F.lit(1)).alias("size"))
+    return bridge.join(sizes, "judgment_id").groupBy("judge_id").agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean_panel"))
+
+
+def monoid(df: DataFrame, key: str, value: Column, zero: Column, merge: Callable[[Column, Column], Column], shares: int = 64) -> DataFrame:
+    """(key, folded): values of each key folded by an associative and commutative operation with a neutral element. A key's values
+    are folded in shares and these once more, so that no task holds all values of a frequent key; nulls are left out."""
+    kept = df.select(key, value.alias("_v")).filter("_v IS NOT NULL").withColumn("_s", F.pmod(F.monotonically_increasing_id(), F.lit(shares)))
+    parts = kept.groupBy(key, "_s").agg(F.reduce(F.collect_list("_v"), zero, merge).alias("_v"))
+    return parts.groupBy(key).agg(F.reduce(F.collect_list("_v"), zero, merge).alias("folded"))
+
+
+def measures(df: DataFrame, key: str, measure: str) -> DataFrame:
+    """(key, measures): the key's measures in order as one array; a key's rows must fit one row."""
+    return df.groupBy(key).agg(F.sort_array(F.collect_list(measure)).alias("measures"))
+
+
+def date_or_default(text: Column, default: str = "2023-01-01 00:00:00") -> Column:
+    """An ISO date with time, Z meaning UTC; the default where it can't be read."""
+    return F.coalesce(F.try_to_timestamp(F.regexp_replace(text, "Z$", "+00:00")), F.lit(default).cast("timestamp"))

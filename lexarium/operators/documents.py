@@ -217,3 +217,13 @@ def preorder(nodes: DataFrame) -> DataFrame:
         level = nodes.join(above, "parent_id").select(*nodes.columns, F.concat_ws(".", "_p", step(F.col("position"))).alias("path"), (F.col("_d") + 1).alias("depth")).checkpoint()
         out = out.unionByName(level)
     return out
+
+
+def of_type(nodes: DataFrame, kind: str, column: str = "tag") -> DataFrame:
+    """The nodes of a type, roots included; order by path is depth first."""
+    return nodes.filter(F.col(column) == kind).orderBy("doc_id", "path")
+
+
+def record(docs: DataFrame, column: str = "xml") -> DataFrame:
+    """(doc_id, header, sections, citations): a document as one record."""
+    return docs.select("doc_id", metadata(column).alias("header"), sections(column).alias("sections"), document_citations(column).alias("citations"))

@@ -18,8 +18,14 @@ CASE_NAME = r"(?:(R\s*(?:\([^)]+\))?|[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*(?:\s+(?:Ltd|
 STATUTE = r"(?:(?:Section|s\.|ss\.|Schedule|Sch\.?|Part|Article|Art\.?|Regulation|reg\.?)\s+)(\d+(?:[A-Z])?(?:\(\d+\))*(?:-\d+)?)\s+(?:of\s+)?(?:the\s+)?([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+(?:Act|Regulations?|Rules?|Order)\s+\d{4})"
 EUROPEAN = r"(?:Case\s+)?(C|T)-(\d+)/(\d{2,4})(?:\s+([^,.\n]+))?"
 JUDGE = r"(?:(?:Lord|Lady|Sir|Dame|Mr|Mrs|Ms)\s+)?(?:Justice|J\.?)\s+([A-Z][a-z]+(?:-[A-Z][a-z]+)?)|(Lord|Lady)\s+([A-Z][a-z]+(?:\s+of\s+[A-Z][a-z]+)?)"
-#: Confidence by kind.
-CONFIDENCE = {"neutral": 0.95, "law_report": 0.90, "european": 0.85}
+#: Kinds of citations: pattern, confidence, and the groups that the fields come from.
+KINDS = {
+    "neutral": (NEUTRAL, 0.95, {"year": 1, "court": 2, "number": 3, "division": 4}),
+    "law_report": (LAW_REPORT, 0.90, {"year": 1, "division": 2, "series": 3, "number": 4}),
+    "european": (EUROPEAN, 0.85, {"court": 1, "number": 2, "year": 3}),
+}
+#: European courts by the letter of the case number.
+EUROPEAN_COURTS = {"C": "ECJ", "T": "CFI"}
 
 
 def _applied(find: Callable[[str], list], schema: str) -> Callable[[Column | str], Column]:
@@ -31,22 +37,19 @@ def _applied(find: Callable[[str], list], schema: str) -> Callable[[Column | str
 
 
 def find_citations(text: str) -> list[dict]:
-    """Citations by place: kind, text, year, court or series, number, division, offsets and confidence."""
+    """Citations by place: kind, text, year, court or series of reports, number, division (of reports: the volume), offsets and confidence."""
     out = []
-    for m in re.finditer(NEUTRAL, text, re.I):
-        out.append({"kind": "neutral", "text": m[0], "year": int(m[1]), "court": m[2].upper(), "number": m[3], "division": m[4]} | _at(m, "neutral"))
-    for m in re.finditer(LAW_REPORT, text, re.I):
-        out.append({"kind": "law_report", "text": m[0], "year": int(m[1]), "court": m[3], "number": m[4], "division": m[2]} | _at(m, "law_report"))
-    for m in re.finditer(EUROPEAN, text, re.I):
-        year = int(m[3]) + (2000 if len(m[3]) == 2 else 0)
-        out.append({"kind": "european", "text": m[0], "year": year, "court": "ECJ" if m[1].upper() == "C" else "CFI", "number": m[2], "division": None} | _at(m, "european"))
+    for kind, (pattern, confidence, groups) in KINDS.items():
+        for m in re.finditer(pattern, text, re.I):
+            row = {"kind": kind, "text": m[0], "start": m.start(), "end": m.end(), "confidence": confidence} | {field: m[g] for field, g in groups.items()}
+            short = len(row["year"]) == 2  # of this century
+            row["year"] = int(row["year"]) + (2000 if short else 0)
+            if row.get("court"):
+                row["court"] = EUROPEAN_COURTS.get(row["court"].upper(), row["court"].upper())
+            out.append({"court": None, "series": None, "division": None} | row)
     return sorted(out, key=lambda x: x["start"])
 
 
-def _at(m: re.Match, kind: str) -> dict:
-    return {"start": m.start(), "end": m.end(), "confidence": CONFIDENCE[kind]}
-
-
 def find_case_names(text: str) -> list[dict]:
     return [{"applicant": m[1].strip(), "respondent": m[2].strip(), "start": m.start(), "end": m.end()} for m in re.finditer(CASE_NAME, text, re.I)]
 
@@ -59,7 +62,7 @@ def find_judges(text: str) -> list[dict]:
     return [{"surname": m[1] or m[3], "title": m[2], "full_name": m[0], "start": m.start(), "end": m.end()} for m in re.finditer(JUDGE, text, re.I)]
 
 
-citations = _applied(find_citations, "array<struct<kind:string,text:string,year:int,court:string,number:string,division:string,start:int,end:int,confidence:double>>")
+citations = _applied(find_citations, "array<struct<kind:string,text:string,year:int,court:string,series:string,number:string,division:string,start:int,end:int,confidence:double>>")
 case_names = _applied(find_case_names, "array<struct<applicant:string,respondent:string,start:int,end:int>>")
 statutes = _applied(find_statutes, "array<struct<section:string,act:string,start:int,end:int>>")
 judges = _applied(find_judges, "array<struct<surname:string,title:string,full_name:string,start:int,end:int>>")

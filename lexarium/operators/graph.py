@@ -30,9 +30,12 @@ def density(edges: DataFrame, vertices: int) -> DataFrame:
 def clustering(edges: DataFrame) -> DataFrame:
     """Mean over vertices with two cited ones or more of the share of pairs (smaller, larger) joined by an edge in this direction."""
     e = edges.select("src", "dst").distinct()
-    pairs = e.withColumnRenamed("dst", "a").join(e.withColumnRenamed("dst", "b"), "src").filter("a < b")
-    closed = pairs.join(e.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(1).alias("hit")), ["a", "b"], "left")
-    each = closed.groupBy("src").agg((F.sum(F.coalesce("hit", F.lit(0))) / F.count(F.lit(1))).alias("share"))
+    pairs = e.groupBy("src").agg(F.count(F.lit(1)).alias("d")).filter("d > 1").select("src", (F.col("d") * (F.col("d") - 1) / 2).alias("pairs"))
+    # Pairs aren't listed but counted; only edges from a smaller to a larger vertex can close one, and each is met by those that cite its ends.
+    rising = e.filter("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    wedges = e.select("src", F.col("dst").alias("a")).join(rising, "a")
+    closed = wedges.join(e.select("src", F.col("dst").alias("b")), ["src", "b"], "left_semi").groupBy("src").agg(F.count(F.lit(1)).alias("closed"))
+    each = pairs.join(closed, "src", "left").select((F.coalesce("closed", F.lit(0)) / F.col("pairs")).alias("share"))
     return each.agg(F.coalesce(F.avg("share"), F.lit(0.0)).alias("clustering"))
 
 
@@ -55,17 +58,19 @@ def shortest_path(edges: DataFrame, start: int, target: int, most: int = 30) ->
         return [start]
     seen = spark.createDataFrame([(start, None)], "id long, parent long")
     frontier = seen
-    for _ in range(most):
+    for hop in range(1, most + 1):
         step = edges.join(frontier.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
         frontier = step.join(seen.select("id"), "id", "left_anti").checkpoint()
         if frontier.isEmpty():
             return None
         seen = seen.unionByName(frontier)
         if not frontier.filter(F.col("id") == target).isEmpty():
-            path = [target]
-            while path[-1] != start:  # one look-up for each vertex of the path
-                path.append(seen.filter(F.col("id") == path[-1]).first().parent)
-            return path[::-1]
+            # The target's chain of parents in one query: a join for each hop, over what the hops have reached.
+            back = frontier.filter(F.col("id") == target).select(F.col("id").alias("v0"), F.col("parent").alias("v1"))
+            for i in range(1, hop):
+                back = back.join(seen.select(F.col("id").alias(f"v{i}"), F.col("parent").alias(f"v{i + 1}")), f"v{i}")
+            row = back.first()
+            return [row[f"v{i}"] for i in range(hop, -1, -1)]
     return None
 
 

@@ -13,10 +13,7 @@ from ..functions.citations import looked_up
 from ..functions.text import c, sentences
 
 # Concepts, lemmas and patterns of token classes.
-CONCEPTS = (
-    "negligence|tort|contract|breach|damages|liability|jurisdiction|statutory|common law|precedent|ratio|obiter|judgment|appeal|cross-appeal|permission|"
-    "judicial review|human rights|constitutional|administrative|procedural|substantive|reasonable|proportionate"
-).split("|")
+CONCEPTS = ["negligence", "tort", "contract", "breach", "damages", "liability", "jurisdiction", "statutory", "common law", "precedent", "ratio", "obiter", "judgment", "appeal", "cross-appeal", "permission", "judicial review", "human rights", "constitutional", "administrative", "procedural", "substantive", "reasonable", "proportionate"]
 LEMMAS = {"courts": "court", "judgments": "judgment", "appeals": "appeal", "applications": "application", "decisions": "decision", "orders": "order", "proceedings": "proceeding"}
 CITATIONS = [r"\[(\d{4})\]\s+([A-Z]{2,})\s+(\d+)", r"\[(\d{4})\]\s+([A-Z]{2,})\s+([A-Za-z]+)\s+(\d+)", r"\((\d{4})\)\s+([A-Z]{2,})\s+(\d+)", r"(\d+)\s+([A-Z]{2,})\s+(\d+)"]
 COURTS = [r"\b(Supreme Court|House of Lords|Court of Appeal|High Court)\b", r"\b(UKSC|UKHL|EWCA|EWHC|UKUT|UKFTT)\b", r"\b(Divisional Court|Crown Court|Magistrates'?\s*Court)\b"]

@@ -129,3 +129,11 @@ def recent(df: DataFrame, as_of: Column, days: int, courts: list[str] | None = N
     """Published rows of the last days, newest and most relevant first."""
     out = df.filter(F.col("published") & (F.col(day) >= F.date_sub(as_of, days)))
     return (out.filter(F.col("court").isin(courts)) if courts else out).orderBy(F.col(day).desc(), F.col("relevance_score").desc(), "id")
+
+
+def holds(wanted: dict[str, str]) -> Column:
+    """Whether any of the fields holds its text, in any case; null fields hold none."""
+    found = F.lit(False)
+    for field, text in wanted.items():
+        found = found | F.coalesce(F.lower(F.col(field).cast("string")).contains(text.lower()), F.lit(False))
+    return found

@@ -6,7 +6,7 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LOG = "cache_id string, seq long, op string, key string, hit boolean, evicted string, expired boolean"
@@ -92,22 +92,88 @@ def statistics(replayed: DataFrame) -> DataFrame:
     return out.withColumn("rate", F.coalesce(F.try_divide(F.col("hits"), F.col("hits") + F.col("misses")), F.lit(0.0)))
 
 
-def reuse_hits(accesses: DataFrame, capacity: int, key: str = "key", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
-    """Hits of an LRU cache without expiry, by its stack property: an access hits if fewer than capacity distinct keys were
-    used since the key's last use. (seq, key, hit); seq numbers all accesses of the log, which is one cache's."""
-    places = accesses.select(F.row_number().over(Window.orderBy(*order)).alias("seq"), F.col(key).alias("key"))
-    last = places.withColumn("previous", F.lag("seq").over(Window.partitionBy("key").orderBy("seq")))
-    # Distinct keys between two uses = accesses between them that aren't used again before the second one.
-    following = last.withColumn("next", F.lead("seq").over(Window.partitionBy("key").orderBy("seq")))
-    near = following.filter("previous IS NOT NULL").select("seq", "key", "previous")
-    # A span longer than the cache holds at least some repeats; spans are cut into blocks so that the join is an equi-join.
-    block = max(1, capacity)
-    spans = near.select("seq", "previous", F.explode(F.sequence(F.floor(F.col("previous") / block), F.floor(F.col("seq") / block))).alias("_b"))
-    inner = following.select(F.col("seq").alias("_at"), F.col("next").alias("_next"), F.floor(F.col("seq") / block).alias("_b"))
-    between = spans.join(inner, "_b").filter((F.col("_at") > F.col("previous")) & (F.col("_at") < F.col("seq")) & (F.col("_next").isNull() | (F.col("_next") > F.col("seq"))))
-    distinct = between.groupBy("seq").agg(F.count(F.lit(1)).alias("d"))
-    out = last.join(distinct, "seq", "left")
-    return out.select("seq", "key", (F.col("previous").isNotNull() & (F.coalesce("d", F.lit(0)) < capacity)).alias("hit"))
+def reuse_hits(accesses: DataFrame, capacity: int, key: str = "key", order: tuple[str, ...] = ("ts", "event_id"), chunks: int | None = None) -> DataFrame:
+    """Hits of an LRU cache without expiry, every access of which leaves its key as the most recent: (seq, key, hit); seq numbers
+    all accesses of the log, which is one cache's.
+
+    The log is cut by range into chunks that are read in parallel. A chunk's last `capacity` distinct keys are all of it that a later
+    one can find in the cache, so the cache at the beginning of each follows from those before.
+    """
+    chunks = chunks or int(accesses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = accesses.select(F.col(key).alias("key"), *order).repartitionByRange(chunks, *order).sortWithinPartitions(*order)
+    cut = cut.select(F.spark_partition_id().alias("chunk"), "key").checkpoint()
+    key_type = cut.schema["key"].dataType.simpleString()
+
+    def tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last: OrderedDict = OrderedDict()
+        chunk, n = None, 0
+        for batch in batches:
+            for chunk, used in zip(batch["chunk"], batch["key"], strict=True):
+                n += 1
+                last.pop(used, None)
+                last[used] = None
+                if len(last) > capacity:
+                    last.popitem(last=False)
+        if n:
+            yield pd.DataFrame({"chunk": chunk, "n": n, "place": range(len(last)), "key": list(last)}).astype({"key": object})
+
+    # At most `capacity` rows a chunk come to the driver, one chunk at a time; what goes back is the cache at each chunk's beginning.
+    found = cut.mapInPandas(tails, f"chunk int, n long, place int, key {key_type}").orderBy("chunk", "place").checkpoint()
+    begin: dict[int, tuple[int, list]] = {}
+    cache: OrderedDict = OrderedDict()
+    seen, length = 0, 0
+    for r in found.toLocalIterator():
+        if r.place == 0:
+            seen += length
+            begin[r.chunk], length = (seen, list(cache)), r.n
+        cache.pop(r.key, None)
+        cache[r.key] = None
+        if len(cache) > capacity:
+            cache.popitem(last=False)
+    shared = accesses.sparkSession.sparkContext.broadcast(begin)
+
+    def replayed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: OrderedDict | None = None
+        at = 0
+        for batch in batches:
+            hits = []
+            for chunk, used in zip(batch["chunk"], batch["key"], strict=True):
+                if held is None:
+                    at, keys = shared.value[chunk]
+                    held = OrderedDict.fromkeys(keys)
+                hits.append(used in held)
+                held.pop(used, None)
+                held[used] = None
+                if len(held) > capacity:
+                    held.popitem(last=False)
+            yield pd.DataFrame({"seq": range(at + 1, at + 1 + len(hits)), "key": batch["key"], "hit": hits})
+            at += len(hits)
+
+    return cut.mapInPandas(replayed, f"seq long, key {key_type}, hit boolean")
+
+
+def ranking(replayed: DataFrame, limit: int = 10) -> DataFrame:
+    """(cache_id, key, access_count): the entries still held that were found most often since they were put, ties by key."""
+    ended = replayed.filter("op = 'clear'").groupBy("cache_id").agg(F.max("seq").alias("_clear"))
+    gone = replayed.filter("evicted IS NOT NULL").select("cache_id", F.col("evicted").alias("key"), "seq").unionByName(replayed.filter("op = 'delete' OR expired").select("cache_id", "key", "seq"))
+    gone = gone.groupBy("cache_id", "key").agg(F.max("seq").alias("_gone"))
+    puts = replayed.filter("op = 'put'").groupBy("cache_id", "key").agg(F.max("seq").alias("_put"))
+    held = puts.join(gone, ["cache_id", "key"], "left").join(ended, "cache_id", "left").filter("coalesce(_gone, -1) < _put AND coalesce(_clear, -1) < _put")
+    uses = replayed.filter("op = 'get' AND hit").select("cache_id", "key", "seq")
+    counts = held.join(uses, ["cache_id", "key"], "left").groupBy("cache_id", "key").agg(F.count_if(F.col("seq") > F.col("_put")).alias("access_count"))
+    return counts.orderBy(F.col("access_count").desc(), "cache_id", "key").limit(limit)
+
+
+def read_through(requests: DataFrame, stored: DataFrame, made: Column) -> DataFrame:
+    """requests (key, format, ..) with content and source: what is stored (key, format, content), else what `made` gives."""
+    out = requests.join(stored.select("key", "format", F.col("content").alias("_content")), ["key", "format"], "left")
+    return out.withColumns({"source": F.when(F.col("_content").isNotNull(), "cache").otherwise("made"), "content": F.coalesce("_content", made)}).drop("_content")
+
+
+def warmed(uses: DataFrame, contents: DataFrame, limit: int) -> DataFrame:
+    """(key, format, content) of the keys that were used most: what a cache is filled with before requests come."""
+    best = uses.groupBy("key").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "key").limit(limit)
+    return contents.join(F.broadcast(best.select("key")), "key", "left_semi")
 
 
 def live(entries: DataFrame, as_of: Column) -> DataFrame:

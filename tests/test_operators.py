@@ -241,3 +241,62 @@ def test_cache_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r.hit for r in spark.sql("SELECT hit FROM replayed ORDER BY seq").collect()] == [None, True, None, False]
+
+
+def test_dictionary(spark):
+    from lexarium.operators import tries as I
+
+    rows = [(1, " Widget ", 2, {"a": "1"}), (2, "widget", 3, {"a": "2", "b": "x"}), (3, "wide", 5, None), (4, None, 1, None), (5, "  ", 1, None), (6, "other", 9, {})]
+    trie = I.inserted(spark.createDataFrame(rows, "seq long, word string, frequency long, metadata map<string,string>"))
+    assert {r.word: (r.frequency, r.metadata) for r in trie.collect()} == {"widget": (5, {"a": "2", "b": "x"}), "wide": (5, None), "other": (9, None)}
+    assert [r.word for r in I.completed(trie, " WID", 10).collect()] == ["wide", "widget"] and I.found(trie, "none").count() == 0
+
+
+def test_filter_saved_and_scalable(spark, tmp_path):
+    from lexarium.operators import sketch as B
+
+    items = spark.range(300).selectExpr("id", "concat('x', id) AS x")
+    bits = B.built(items, "x", 5000, 5)
+    B.saved(bits, str(tmp_path / "filter"), bits=5000, hashes=5)
+    back, parameters = B.loaded(spark, str(tmp_path / "filter"))
+    assert parameters == {"bits": 5000, "hashes": 5} and {r.bit for r in back.collect()} == {r.bit for r in bits.collect()}
+    grown = B.scalable(items, "x", items.id, 20)
+    assert sorted({r.slice for r in grown.collect()}) == [0, 1, 2, 3]  # 20, 40, 80 and 160 items
+    assert B.in_scalable(items, "x", grown, 20).filter("NOT maybe").count() == 0
+    assert B.in_scalable(spark.range(300).selectExpr("concat('y', id) AS x"), "x", grown, 20).filter("maybe").count() < 30
+
+
+def test_lru_by_chunks_is_one_replay(spark):
+    import random
+    from collections import OrderedDict
+
+    from lexarium.streaming import cache as K
+
+    rng = random.Random(4)
+    keys = [rng.randint(0, 40) if rng.random() < 0.7 else rng.randint(0, 400) for _ in range(3000)]
+    log = spark.createDataFrame([(i // 3, i, k) for i, k in enumerate(keys)], "ts long, event_id long, key long").repartition(5)
+    for capacity in (1, 25, 1000):
+        held, want = OrderedDict(), []
+        for i, k in enumerate(keys, 1):
+            want.append((i, k, k in held))
+            held.pop(k, None)
+            held[k] = None
+            if len(held) > capacity:
+                held.popitem(last=False)
+        assert sorted(map(tuple, K.reuse_hits(log, capacity, chunks=9).collect())) == want
+    assert K.reuse_hits(log.limit(0), 5).count() == 0
+
+
+def test_clustering_and_paths(spark):
+    from itertools import combinations
+
+    from lexarium.operators import graph as G
+
+    edges = [(0, 1), (0, 2), (0, 3), (1, 2), (2, 3), (3, 1), (4, 0), (4, 3), (5, 5), (1, 6), (6, 7)]
+    df = spark.createDataFrame([*edges, (0, 1)], "src long, dst long")
+    out = {}
+    for s, d in edges:
+        out.setdefault(s, set()).add(d)
+    shares = [sum((a, b) in edges for a, b in combinations(sorted(v), 2)) / (len(v) * (len(v) - 1) / 2) for v in out.values() if len(v) > 1]
+    assert abs(G.clustering(df).first()[0] - sum(shares) / len(shares)) < 1e-12
+    assert G.shortest_path(df, 4, 7) == [4, 0, 1, 6, 7] and G.shortest_path(df, 7, 4) is None

@@ -21,13 +21,13 @@ def test_jaccard_of_all_pairs(spark):
     docs, items = pd.read_parquet(f"{DATA}/documents.parquet"), pd.read_parquet(f"{DATA}/benchmark.parquet")
     b = [(i, words(t)) for i, t in zip(items.item_id, items.text, strict=True)]
     want = {(d, i): len(w & x) / len(w | x) for d, w in ((d, words(t)) for d, t in zip(docs.doc_id, docs.text, strict=True)) for i, x in b if w & x}
-    found = {(r.doc_id, r.item_id): r.jaccard for r in catalogue.queries()["jaccard_all_pairs"](spark, DATA).collect()}
+    found = {(r.doc_id, r.item_id): r.jaccard for r in catalogue.queries()["jaccard_pairs"](spark, DATA).collect()}
     assert set(found) == set(want) and all(abs(found[k] - v) < 1e-6 for k, v in want.items())
 
 
 def test_sentences(spark):
     docs = pd.read_parquet(f"{DATA}/documents.parquet")
-    found = {r.doc_id: (r.n_sentences, r.sentences_sha256) for r in catalogue.queries()["sentence_lists"](spark, DATA).collect()}
+    found = {r.doc_id: (r.n_sentences, r.sentences_sha256) for r in catalogue.queries()["sentence_split"](spark, DATA).collect()}
     assert len(found) == len(docs) and max(n for n, _ in found.values()) > 1
     for d, text in zip(docs.doc_id, docs.text, strict=True):
         parts = [p for s in re.split(r"(?<=[.!?])[ \t\n\x0b\f\r]+(?=[A-Z])", text or "") if (p := s.strip(" "))]
