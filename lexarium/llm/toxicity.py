@@ -185,6 +185,8 @@ class ToxicityModel:
         self.lexicon: list[str] = []
         self.weights: dict[str, float] = {}
         self.harmless: dict[str, float] = {}
+        #: What a misspelling of a term weighs at most, where training documents hold any.
+        self.misspelled: dict[str, float] = {}
         self.beta = np.zeros(self.FEATURES + 1)
         self.beta[0] = np.log((prior + 1e-3) / (1 - prior + 1e-3))
 
@@ -197,14 +199,17 @@ class ToxicityModel:
         if not model.lexicon:
             return model
         finder = Finder(model)
-        found, exact, forms, labels = [], [Counter(), Counter()], [Counter(), Counter()], Counter(int(bool(y)) for _, y in examples)
+        found, exact, near, forms, labels = [], [Counter(), Counter()], [Counter(), Counter()], [Counter(), Counter()], Counter(int(bool(y)) for _, y in examples)
         for text, y in examples:
             hits = finder.hits(text)
             found.append(hits)
-            exact[bool(y)].update({t for _, terms, *_ in hits[0] for t, e in terms if not e})
+            right = {t for _, terms, *_ in hits[0] for t, e in terms if not e}
+            exact[bool(y)].update(right)
+            near[bool(y)].update({t for _, terms, *_ in hits[0] for t, e in terms if e} - right)
             forms[bool(y)].update({form for _, terms, _, form in hits[0] if all(e for _, e in terms)})
         odds = lambda counts, key: float(np.clip(np.log((counts[1][key] + 0.5) / (labels[1] + 1)) - np.log((counts[0][key] + 0.5) / (labels[0] + 1)), -3, 6))
         model.weights = {t: odds(exact, t) for t in model.lexicon}
+        model.misspelled = {t: odds(near, t) for t in {*near[0], *near[1]}}
         model.harmless = {form: odds(forms, form) for form in forms[0]}
         x = np.array([model.features(h) for h in found])
         y = np.array([int(bool(y)) for _, y in examples], float)
@@ -213,7 +218,7 @@ class ToxicityModel:
         return model
 
     def weight(self, terms: tuple[tuple[str, int], ...], form: str) -> float:
-        best = max(self.weights.get(t, 0.0) * self.DISCOUNT[min(e, 2)] for t, e in terms)
+        best = max(min(self.weights.get(t, 0.0) * self.DISCOUNT[min(e, 2)], self.misspelled.get(t, 99.0) if e else 99.0) for t, e in terms)
         return min(best, self.harmless.get(form, best)) if all(e for _, e in terms) else best
 
     def _fit(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) -> None:
