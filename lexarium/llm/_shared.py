@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 #: Characters that count as white space: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\f\r"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of up to this many keys are broadcast (a key is at most 40 bytes); beyond it joins shuffle.
 BROADCAST_ROWS = 100_000
 _FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
@@ -64,11 +63,6 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def lower_ascii(text: Column) -> Column:
-    """A-Z in lower case and nothing else; all-ASCII strings take the faster built-in."""
-    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-
-
 def row_keys(id_column: str = "doc_id", text_column: str = "text") -> list[Column]:
     """128 bits for a row: rows with the same key have the same id and text, so any of them stands for all."""
     parts = [F.coalesce(F.col(id_column).cast("string"), F.lit("\x00null")), text_of(text_column)]

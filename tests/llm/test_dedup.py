@@ -100,3 +100,18 @@ def test_line_dedup_keeps_columns_named_like_its_own(frame):
     out = line_dedup(df, 2)
     assert out.columns == ["doc_id", "text", "_row", "_gone", "c0", "n_lines", "n_dropped"]
     assert found(out) == sorted([(1, "b", 1, 2, 3, 2, 1), (2, "", 1, 2, 3, 1, 1), (None, "", 1, 2, 3, 1, 0), (None, "", 1, 2, 3, 1, 0)], key=repr)
+
+
+def test_folded_parts_all_but_ascii_case(spark):
+    import random
+
+    from lexarium.llm.line_dedup import folded
+
+    rng = random.Random(8)
+    letters = "aAzZ@[`{" + "".join(map(chr, [0x7F, 0x80, 0xB5, 0xC0, 0xC3, 0xD7, 0xDF, 0xE3, 0xE9, 0xC9, 0x130, 0x131, 0x178, 0x17F, 0x3A3, 0x3C2, 0x69, 0x49, 0x7FF, 0x800, 0x2168, 0x212A, 0x3042, 0xE9A9, 0xFFFD, 0x10000, 0x10400, 0x1F642, 0x10FFFF]))
+    words = list({"".join(rng.choice(letters) for _ in range(rng.randint(1, 4))) for _ in range(4000)} | {chr(c) for c in range(0x20, 0x3000)})
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", folded(F.col("w")).alias("f")).collect()
+    ascii_lower = {}
+    for r in rows:
+        ascii_lower.setdefault(r.w.translate(UPPER), set()).add(r.f)
+    assert all(len(v) == 1 for v in ascii_lower.values()) and len({f for v in ascii_lower.values() for f in v}) == len(ascii_lower)
