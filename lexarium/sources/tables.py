@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows that the table of a report may have.
+REPORT_ROWS = 10_000
 _STRINGS = T.ArrayType(T.StringType())
 CASES = T.StructType()
 for _name, _type in (("case_name", "string"), ("citation", "string"), ("neutral_citation", "string"), ("judgment_date", "date"), ("court", "string"), ("judges", _STRINGS), ("legal_area", "string"), ("significance", "string")):
@@ -43,9 +45,11 @@ def updated(df: DataFrame, predicate: Column, values: dict[str, Column]) -> Data
 
 
 def html_report(title: str, statistics: dict, courts: DataFrame) -> str:
-    """A page with basic statistics and a table by court; the table must be small (one row for each court)."""
+    """A page with basic statistics and a table by court, of one row for each; a table of over REPORT_ROWS rows is an error, not cut."""
+    if courts.limit(REPORT_ROWS + 1).count() > REPORT_ROWS:
+        raise ValueError(f"a report has at most {REPORT_ROWS} rows")
     cells = lambda values, tag: "<tr>" + "".join(f"<{tag}>{html.escape(str(v))}</{tag}>" for v in values) + "</tr>"
-    body = [cells(courts.columns, "th"), *[cells(r, "td") for r in courts.limit(10_000).toLocalIterator()]]
+    body = [cells(courts.columns, "th"), *[cells(r, "td") for r in courts.toLocalIterator()]]
     items = "".join(f"<li>{html.escape(k)}: {html.escape(str(v))}</li>" for k, v in statistics.items())
     return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><ul>{items}</ul><table>{''.join(body)}</table></body></html>"
 
