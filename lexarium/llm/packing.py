@@ -8,7 +8,9 @@ whose tasks each hold a bounded number of them, until a round no longer lowers t
 from __future__ import annotations
 
 import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -18,22 +20,19 @@ from pyspark.sql import types as T
 from ._shared import plain, written
 from .bpe import byte_letters
 
-#: Distinct chunks of text in one generation of the cache of ids; bounds a worker's memory.
-CACHE_ENTRIES = 300_000
 #: Pieces or bins that are packed in one go, and at most held by a task of a later round.
 BLOCK_ITEMS = 8192
-#: White space that may join with a space into one token of white space, so that text can't be cut at spaces there.
-OTHER_SPACES = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-#: The usual case: such a character beside a space.
-BESIDE = ["  ", " \t", " \n", " \r", "\t ", "\n ", "\r "]
+#: Longest run of white space, in characters, that `tiktoken` is given; its pattern fails on runs of a million.
+LONGEST_SPACE = 100_000
+# Fixed value: what the `ByteLevel` pre-tokenizer takes for words.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class ByteTokenizer:
     """Ids (little-endian 32-bit) by a byte-level BPE file of the `tokenizers` library.
 
-    Text is cut at single spaces between other characters, where no token can cross; what lies between is encoded once
-    and then looked up. If the vocabulary's ids follow its merges, `tiktoken` encodes the distinct words; all that is
-    not plain words goes to `tokenizers` itself.
+    If the vocabulary's ids follow its merges, `tiktoken` gives the same ids sooner, word after word without a cache that grows.
+    Texts that hold a special token, or a run of white space too long for its pattern, go to `tokenizers` itself.
     """
 
     def __init__(self, definition: str):
@@ -43,49 +42,25 @@ class ByteTokenizer:
         self.library = tokenizers.Tokenizer.from_str(definition)
         self.library.no_truncation()
         self.library.no_padding()
-        model = spec["model"]
+        self.special = [t["content"] for t in spec.get("added_tokens") or []]
+        model, before = spec["model"], spec.get("pre_tokenizer") or {}
         merges = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
-        ids = [model["vocab"][m] for m in merges]
+        vocab = {t: i for t, i in model["vocab"].items() if t not in self.special}
+        ids = [vocab.get(m, -1) for m in merges]
+        byte = {c: b for b, c in enumerate(byte_letters())}
+        by_words = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec.get("normalizer") and not model.get("ignore_merges")
         self.fast = None
-        if ids == sorted(set(ids)) and len(model["vocab"]) == len(merges) + 256:
+        if by_words and ids == sorted(set(ids)) and len(vocab) == len(merges) + 256 and all(c in vocab for c in byte):
             import tiktoken
 
-            byte = {c: b for b, c in enumerate(byte_letters())}
-            ranks = {bytes(byte[c] for c in t): i for t, i in model["vocab"].items()}
-            self.fast = tiktoken.Encoding("words", pat_str=r" ?\p{L}+|[^\p{L}]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        import array
-
-        return array.array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes() if text else b""
-
-    def _chunk(self, chunk: str) -> bytes:
-        """The ids of a space and the chunk."""
-        import array
-
-        core = chunk.rstrip(".,")
-        if self.fast and core.isalpha():
-            return array.array("I", self.fast(" " + core) + (self.fast(chunk[len(core) :]) if len(core) < len(chunk) else [])).tobytes()
-        return self._whole(" " + chunk)
+            ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items()}
+            self.fast = tiktoken.Encoding("words", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def encode(self, text: str) -> bytes:
-        if any(c in text for c in BESIDE) or not text.isascii() and any(c in text for c in OTHER_SPACES) or any(c in text for c in "\x0b\x0c\x1c\x1d\x1e\x1f"):
-            return self._whole(text)
-        if len(self.new) > CACHE_ENTRIES:
-            self.old, self.new = self.new, {}
-        first, *chunks = text.split(" ")
-        if chunks and not chunks[-1]:  # a space at the end
-            return self._whole(text)
-        new = self.new
-        try:
-            return self._whole(first) + b"".join([new[c] for c in chunks])
-        except KeyError:
-            for c in chunks:
-                if c not in new:
-                    new[c] = self.old.get(c) or self._chunk(c)
-        return self._whole(first) + b"".join([new[c] for c in chunks])
+        spaced = len(text) >= LONGEST_SPACE and any(m.end() - m.start() >= LONGEST_SPACE for m in re.finditer(r"\s+", text))
+        if self.fast is None or spaced or any(t in text for t in self.special):
+            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        return array("I", self.fast(text)).tobytes()
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -46,6 +46,12 @@ def test_bytes_as_the_library(byte, text):
     assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["a" + " " * 1_000_000 + "b", "\n " * 60_000, "a" * 60_000 + "\n" * 60_000, "<|endoftext|>" * 3])
+def test_bytes_of_long_runs_and_special_tokens(byte, text):
+    own, library = byte
+    assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_trie_is_plain_merging(word):
     encoder = word[0].encoder
     words = ["a", "ab", "abc", "thing", "things", "thinging", "lowest", "lower", "qqqqqq" * 30]
