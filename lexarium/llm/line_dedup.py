@@ -15,6 +15,8 @@ from ._shared import BROADCAST_ROWS, SPACES, plain, row_keys, small, text_of, wr
 
 HASH = ["h1", "h2"]
 ROW = ["_row", "_row2"]
+#: The bytes that go on a letter of UTF-8, read as letters.
+CONTINUATION = "".join(chr(b) for b in range(0x80, 0xC0))
 
 
 def trimmed(line: Column) -> Column:
@@ -32,6 +34,18 @@ def folded(key: Column) -> Column:
     return F.lower(F.decode(key.cast("binary"), "ISO-8859-1"))
 
 
+def folded_lines(text: Column) -> Column:
+    """The folded lines of a text, with their white space: the text is folded as a whole, since no byte of a letter is a line feed."""
+    return F.split(folded(text), "\n")
+
+
+def long_enough(key: Column, min_chars: int) -> Column:
+    """Whether a folded key has at least min_chars code points: bytes but those that go on a letter."""
+    if min_chars <= 1:
+        return key != "" if min_chars == 1 else F.lit(True)
+    return F.length(F.translate(key, CONTINUATION, "")) >= min_chars
+
+
 def key_hash(key: Column) -> list[Column]:
     """128 bits: two 64-bit hashes with different seeds."""
     return [F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2")]
@@ -89,9 +103,11 @@ def frequent_lines(docs: DataFrame, min_documents: int = 10, min_chars: int = 1,
 
     A row counts once for a line that it repeats; each row is a document of its own.
     """
-    lines = F.filter(F.transform(F.split(text_of(text_column), "\n"), trimmed), lambda line: F.length(line) >= min_chars)
-    keys = F.array_distinct(F.transform(lines, folded))
-    lines = docs.select(F.pmod(_spread(text_column), F.lit(batches)).cast("int").alias("batch"), F.explode(keys).alias("key"))
+    keys = F.array_distinct(F.filter(F.transform(folded_lines(text_of(text_column)), trimmed), lambda key: long_enough(key, min_chars)))
+    # Batch and keys come before the explosion, so that its rows carry no text; the outer form keeps Spark from working the keys out
+    # twice, once to see whether there are any.
+    batched = docs.select(F.pmod(_spread(text_column), F.lit(batches)).cast("int").alias("batch"), keys.alias("keys"))
+    lines = batched.select("batch", F.explode_outer("keys").alias("key")).filter("key IS NOT NULL")
     counts = lines.select("batch", *key_hash(F.col("key"))).groupBy("batch", *HASH).agg(F.count(F.lit(1)).alias("n"))
     tables = written(counts, "line-counts", ("batch",))
     runs = LineRuns(min_documents, fanout)
@@ -148,8 +164,8 @@ def line_dedup(
     blank = F.length(text_of(text_column)) == 0
     row, row2 = row_keys(id_column, text_column)
     keyed = docs.select("*", F.when(blank, F.pmod(F.monotonically_increasing_id(), F.lit(4096))).otherwise(row).alias("_row"), F.when(blank, F.lit(0)).otherwise(row2).alias("_row2"))
-    lines = keyed.select(*ROW, F.posexplode(F.split(text_of(text_column), "\n")).alias("_at", "_line"))
-    lines = lines.withColumn("_key", trimmed(F.col("_line"))).filter(F.length("_key") >= min_chars).select(*ROW, "_at", *key_hash(folded(F.col("_key"))))
+    lines = keyed.select(*ROW, folded_lines(text_of(text_column)).alias("_lines")).select(*ROW, F.posexplode_outer("_lines").alias("_at", "_line"))
+    lines = lines.withColumn("_key", trimmed(F.col("_line"))).filter(long_enough(F.col("_key"), min_chars)).select(*ROW, "_at", *key_hash(F.col("_key")))
     places = _marked(lines, frequent, broadcast_rows).groupBy(*ROW).agg(F.array_sort(F.collect_set("_at")).alias("_at"))
     if keep_copy:
         places = written(places, "line-places")
