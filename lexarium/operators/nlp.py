@@ -112,7 +112,8 @@ def phrases(docs: DataFrame) -> DataFrame:
     split = docs.select("doc_id", F.posexplode(sentences("text")).alias("sentence", "_s"))
     split = split.withColumn("_t", F.filter(F.split("_s", r"\s+"), lambda w: w != ""))
     found = split.withColumn("_p", _phrases("_t", F.transform("_t", token_class)))
-    return found.select("doc_id", "sentence", F.posexplode("_p").alias("place", "p")).select("doc_id", "sentence", "place", "p.kind", "p.text")
+    # The outer form keeps Spark from scanning twice, once to see whether there are any phrases.
+    return found.select("doc_id", "sentence", F.posexplode_outer("_p").alias("place", "p")).filter("place IS NOT NULL").select("doc_id", "sentence", "place", "p.kind", "p.text")
 
 
 def tree_json(phrases_: DataFrame) -> DataFrame:

@@ -304,6 +304,11 @@ def precedent_strength(level: Column, own_level: Column, similarity: Column, rec
 def jaccard_join(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, jaccard) of all pairs of (doc_id, text) and (item_id, text) that share a token, found through the
     shared tokens; ids are unique. Null texts have no tokens."""
-    sets = lambda df, key, size: df.select(key, F.array_distinct(X.tokens("text")).alias("_w")).select(key, F.size("_w").alias(size), F.explode("_w").alias("_t"))
+
+    def sets(df: DataFrame, key: str, size: str) -> DataFrame:
+        # The size comes before the explosion, so that its rows carry no array; the outer form keeps Spark from taking the tokens twice.
+        words = df.select(key, F.array_distinct(X.tokens("text")).alias("_w")).select(key, F.size("_w").alias(size), "_w")
+        return words.select(key, size, F.explode_outer("_w").alias("_t")).filter("_t IS NOT NULL")
+
     shared = sets(docs, "doc_id", "_a").join(sets(items, "item_id", "_b"), "_t").groupBy("doc_id", "item_id", "_a", "_b").agg(F.count(F.lit(1)).alias("_n"))
     return shared.select("doc_id", "item_id", F.round(F.col("_n") / (F.col("_a") + F.col("_b") - F.col("_n")), 6).alias("jaccard"))
