@@ -32,8 +32,9 @@ from .exact_dedup import with_groups
 
 #: Sets in a group of pairs, and the anchors that every block of a large family meets.
 GROUP, ANCHORS = 128, 8
-#: Words whose hashes a worker keeps, and shingles or list entries that a task gathers before it passes them on.
-KNOWN_WORDS, GATHERED = 1 << 19, 2_000_000
+#: Words whose hashes a worker keeps, shingles that a task gathers before it passes them on (of list entries, which are six numbers
+#: each, a quarter), and texts that it holds as strings at once.
+KNOWN_WORDS, GATHERED, TEXTS = 1 << 19, 2_000_000, 1024
 #: Buckets of shingles whose frequency is counted (one byte each is broadcast); which order a clash gives doesn't change the result.
 LEVEL_BITS = 21
 #: Lists of shingles that were seen 2 ** HOT_LEVEL times or more are reduced in so many shares first.
@@ -172,8 +173,8 @@ def _sets(docs: DataFrame, id_column: str, text_column: str, n: int) -> DataFram
             return table({"bucket": pa.array(bucket), "seen": pa.array(np.bincount(at, times[several], len(bucket)).astype(np.int64))}, len(bucket))
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
                 found = []
                 for h in map(shingler, part.column(1).to_pylist()):
                     found.append((len(h), *_digest(h)))
@@ -304,22 +305,21 @@ def _entries(docs: DataFrame, levels: np.ndarray, text_column: str, n: int, num:
             columns = [np.concatenate(c) for c in zip([x[order] for x in parts], linked, counts, strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64 if name in ("list", "member") else np.int32)) for c, name in zip(columns, ENTRY, strict=True)], names=ENTRY)
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                h = shingler(text)
-                digest = _digest(h)
-                if not len(h) or digest in seen:
-                    continue
-                seen.add(digest)
-                list_, size, partner, level = sizes.entries(h, levels)
-                # A subset in common links its sets already: such lists count as long ones, which give their runs.
-                gathered.append([list_, np.where(level >= HOT_LEVEL, share, -1), size, partner, np.full(len(list_), digest[0]), np.where(size > 0, 1, PAIRED)])
-                held += len(list_)
-                if held > GATHERED:
-                    yield passed()
-                    gathered.clear()
-                    seen.clear()
-                    held = 0
+        for text in (t for b in batches for at in range(0, b.num_rows, TEXTS) for t in b.column(0).slice(at, TEXTS).to_pylist()):
+            h = shingler(text)
+            digest = _digest(h)
+            if not len(h) or digest in seen:
+                continue
+            seen.add(digest)
+            list_, size, partner, level = sizes.entries(h, levels)
+            # A subset in common links its sets already: such lists count as long ones, which give their runs.
+            gathered.append([list_, np.where(level >= HOT_LEVEL, share, -1), size, partner, np.full(len(list_), digest[0]), np.where(size > 0, 1, PAIRED)])
+            held += len(list_)
+            if held > GATHERED // 4:
+                yield passed()
+                gathered.clear()
+                seen.clear()
+                held = 0
         if gathered:
             yield passed()
 
