@@ -35,8 +35,9 @@ GROUP, ANCHORS = 128, 8
 #: Words whose hashes a worker keeps, shingles that a task gathers before it passes them on (of list entries, which are six numbers
 #: each, a quarter), and texts that it holds as strings at once.
 KNOWN_WORDS, GATHERED, TEXTS = 1 << 19, 2_000_000, 1024
-#: Buckets of shingles whose frequency is counted (one byte each is broadcast); which order a clash gives doesn't change the result.
-LEVEL_BITS = 21
+#: Buckets of shingles whose frequency is known (one byte each is broadcast), and shingles that may fill them; which order a clash
+#: gives doesn't change the result.
+LEVEL_BITS, LEVELLED = 23, 1 << 21
 #: Lists of shingles that were seen 2 ** HOT_LEVEL times or more are reduced in so many shares first.
 HOT_LEVEL, SHARES = 12, 64
 #: Entries of a list that gives its pairs; a longer one gives its runs. Entries of one list that a task holds before it reduces them.
@@ -84,6 +85,8 @@ class Sizes:
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
         self.light = self._boundary()
+        #: Shingles below are counted exactly: a tenth of all more than the lists of a set take.
+        self.counted = np.uint64(min(10 * den, 11 * den - 10 * num) * (2**64 - 1) // (10 * den))
 
     def shared(self, n: int, m: int) -> int:
         """The least intersection of linked sets of n and m elements."""
@@ -131,8 +134,9 @@ class Sizes:
         lists = mix(np.array(out, np.uint64)).view(np.int64)
         sizes, partners, ranks = np.zeros(len(out), np.int64), np.zeros(len(out), np.int64), np.zeros(len(out), np.uint8)
         if n and self.most(n) > self.light:
-            level = levels[(h >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)]
-            order = np.argsort(level, kind="stable")[: n - self.shared(n, self.least(n)) + 1]
+            level = levels[(h & np.uint64((1 << LEVEL_BITS) - 1)).astype(np.int64)]
+            # Counted and rare ones come first, then those that nothing is known of.
+            order = np.argsort(np.where(h < self.counted, level, np.maximum(level, 1)), kind="stable")[: n - self.shared(n, self.least(n)) + 1]
             lists = np.append(lists, h[order].view(np.int64))
             sizes = np.append(sizes, np.full(len(order), n))
             partners = np.append(partners, self.partner(n, n - np.arange(len(order))))
@@ -146,9 +150,12 @@ def _digest(h: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def _sets(docs: DataFrame, id_column: str, text_column: str, n: int) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, _row, _row2) of each document, and (bucket, seen): how often shingles that several sets of
-    a task hold were seen. The rows of either kind leave the other's columns null."""
+def _sets(docs: DataFrame, id_column: str, text_column: str, n: int, num: int, den: int) -> DataFrame:
+    """(doc_id, n_shingles, d1, d2, _row, _row2) of each document, and (shingle, seen): how many sets of a task hold a shingle, for all
+    that are counted exactly and for others that several sets hold. The rows of either kind leave the other's columns null.
+
+    shingle is 32 bits of the hash: a clash makes a shingle seem more frequent, which changes the order of lists only.
+    """
     id_type = docs.schema[id_column].dataType
     source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).select("doc_id", "text", *row_keys("doc_id", "text"))
 
@@ -156,9 +163,9 @@ def _sets(docs: DataFrame, id_column: str, text_column: str, n: int) -> DataFram
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_type
 
-        kinds = [to_arrow_type(id_type), *[pa.int64()] * 5, pa.int32(), pa.int64()]
-        names = ["doc_id", "n_shingles", "d1", "d2", "_row", "_row2", "bucket", "seen"]
-        shingler = Shingler(n)
+        kinds = [to_arrow_type(id_type), *[pa.int64()] * 5, pa.int32(), pa.int32()]
+        names = ["doc_id", "n_shingles", "d1", "d2", "_row", "_row2", "shingle", "seen"]
+        shingler, limit = Shingler(n), Sizes(num, den).counted
         gathered: list[np.ndarray] = []
         known: set[int] = set()
         held = 0
@@ -168,9 +175,9 @@ def _sets(docs: DataFrame, id_column: str, text_column: str, n: int) -> DataFram
 
         def counted() -> pa.RecordBatch:
             every, times = np.unique(np.concatenate(gathered) if gathered else np.zeros(0, np.uint64), return_counts=True)
-            several = times > 1
-            bucket, at = np.unique((every[several] >> np.uint64(64 - LEVEL_BITS)).astype(np.int32), return_inverse=True)
-            return table({"bucket": pa.array(bucket), "seen": pa.array(np.bincount(at, times[several], len(bucket)).astype(np.int64))}, len(bucket))
+            told = (times > 1) | (every < limit)
+            shingle = every[told].astype(np.uint32).view(np.int32)
+            return table({"shingle": pa.array(shingle), "seen": pa.array(times[told].astype(np.int32))}, len(shingle))
 
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
@@ -191,13 +198,19 @@ def _sets(docs: DataFrame, id_column: str, text_column: str, n: int) -> DataFram
                     held = 0
         yield counted()
 
-    return source.mapInArrow(sets, f"doc_id {id_type.simpleString()}, n_shingles long, d1 long, d2 long, _row long, _row2 long, bucket int, seen long")
+    return source.mapInArrow(sets, f"doc_id {id_type.simpleString()}, n_shingles long, d1 long, d2 long, _row long, _row2 long, shingle int, seen int")
 
 
 def _levels(seen: DataFrame) -> np.ndarray:
-    """The binary order of magnitude of each bucket's frequency: 0 for rare ones. One byte a bucket, whatever the size of the corpus."""
-    counts = seen.groupBy("bucket").agg(F.sum("seen").alias("seen")).filter("seen >= 4")
-    found = counts.select("bucket", F.floor(F.log2("seen")).cast("tinyint").alias("level")).toArrow()
+    """The binary order of magnitude of the frequency of each bucket's most frequent shingle: 0 for rare ones, others from 2 on. One byte
+    a bucket, whatever the size of the corpus: the least frequent count as rare where more than LEVELLED would be told apart."""
+    counts = seen.groupBy("shingle").agg(F.sum("seen").alias("seen")).filter("seen >= 4")
+    counts = written(counts.select(F.col("shingle").bitwiseAND((1 << LEVEL_BITS) - 1).alias("bucket"), F.floor(F.log2("seen")).cast("tinyint").alias("level")), "frequent")
+    many, least = {r.level: r.n for r in counts.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}, 2
+    while sum(n for level, n in many.items() if level >= least) > LEVELLED:
+        least += 1
+    found = counts.filter(F.col("level") >= least).groupBy("bucket").agg(F.max("level").alias("level")).toArrow()
+    discard(counts)
     out = np.zeros(1 << LEVEL_BITS, np.uint8)
     out[found["bucket"].to_numpy()] = found["level"].to_numpy()
     return out
@@ -491,9 +504,9 @@ def ngram_components(
     """
     num, den = similarity
     source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    first = written(_sets(source, "doc_id", "text", n), "sets")
-    sets = first.filter("bucket IS NULL").select("doc_id", "n_shingles", "d1", "d2", "_row", "_row2")
-    levels = _levels(first.filter("bucket IS NOT NULL").select("bucket", "seen"))
+    first = written(_sets(source, "doc_id", "text", n, num, den), "sets")
+    sets = first.filter("shingle IS NULL").select("doc_id", "n_shingles", "d1", "d2", "_row", "_row2")
+    levels = _levels(first.filter("shingle IS NOT NULL").select("shingle", "seen"))
     family = written(components(_candidates(_entries(source, levels, "text", n, num, den), num, den)), "families")
 
     # One row stands for all rows of one set; only the texts of such rows are read again, and only in families.

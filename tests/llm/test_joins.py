@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexarium.llm import ngram_join
 from lexarium.llm.components import components
-from lexarium.llm.ngram_join import Sizes, ngram_components
+from lexarium.llm.ngram_join import Shingler, Sizes, ngram_components
 from lexarium.llm.topk import exact_top_k
 
 
@@ -120,6 +120,20 @@ def test_linked_sets_share_a_list():
                         assert len(needed) >= needed.max() and placed.any(), (num, n, m)
 
 
+def test_frequencies_are_exact_across_tasks(spark, frame):
+    """A shingle that each task holds once is known as frequent; rare ones that two sets of many tasks happen to share are not."""
+    limit = Sizes(90, 100).counted
+    often = next(w for i in range(999) if Shingler(3)(w := f"often{i} said here")[0] < limit)
+    rows = [(i, f"{often} " + " ".join(f"w{i}x{k}" for k in range(30))) for i in range(40)]
+    rare = [f"r{i} s{i} t{i}" for i in range(20)]
+    rows += [(100 + 2 * i + k, f"{t} u{i}x{k}") for i, t in enumerate(rare) for k in range(2)]
+    first = ngram_join._sets(frame(rows).repartitionByRange(40, "doc_id"), "doc_id", "text", 3, 90, 100)
+    levels = ngram_join._levels(first.filter("shingle IS NOT NULL").select("shingle", "seen"))
+    level = lambda text: levels[int(Shingler(3)(text)[0]) & ((1 << ngram_join.LEVEL_BITS) - 1)]
+    assert level(often) == 5
+    assert not any(level(t) for t in rare)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 50), (50, 70), (200, 200)]
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
