@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -7,7 +8,7 @@ import tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lexarium.llm import packing
+from lexarium.llm import bpe, packing
 from lexarium.llm.bpe import WordTokenizer, bpe_encode
 from lexarium.llm.packing import BestFit, ByteTokenizer, best_fit_packing, token_pieces
 
@@ -66,6 +67,54 @@ def test_bpe_encode(frame, odd, word):
     assert bpe_encode(frame([]), WORD).count() == 0
 
 
+def test_occurrences_of_words_cost_no_objects(word):
+    text = "some words, again " * 100_000
+    expected = word[1].encode(text, add_special_tokens=False).ids
+    word[0].block([text])
+    tracemalloc.start()
+    ids, decoded = word[0].block([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.frombuffer(ids[0], "<i4").tolist() == expected and decoded[0] == word[1].decode(expected)
+    assert peak < 50 * 300_000  # bytes; a string and a list entry for each word take more
+
+
+def test_next_task_merges_no_pair_again(word, monkeypatch):
+    with open(WORD, encoding="utf-8") as f:
+        definition = f.read()
+    texts = ["reorntou thheessh. laqueeuxè, enkeitheitkeit", "avecenqueêé"]
+    tokenizer = bpe.word_tokenizer(definition, "a")
+    first = tokenizer.block(texts)
+    monkeypatch.setattr(bpe.TrieEncoder, "merged", lambda *_: pytest.fail("merged again"))
+    assert bpe.word_tokenizer("".join([*definition]), "a").block(texts) == first
+    other = bpe.word_tokenizer(definition, "b")
+    assert not other.known and not other.encoder._follows
+
+
+def test_blocks_hold_every_row(frame, odd, word, monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 8)
+    texts = [t or "" for _, t in odd]
+    for size in (1, 4, len(texts)):
+        found = list(bpe.blocks(np.array([len(t.encode()) for t in texts[:size]])))
+        assert [i for a, b in found for i in range(a, b)] == list(range(size))
+        assert all(b - a == 1 or sum(len(t.encode()) for t in texts[a:b]) <= 8 for a, b in found)
+    assert list(bpe.blocks(np.zeros(0, np.int64))) == []
+    whole = word[0].block(texts)
+    parts = [word[0].block([t]) for t in texts]
+    assert [[x for (x,), _ in parts], [x for _, (x,) in parts]] == [*whole]
+
+
+def test_white_space_and_folding_of_joined_chunks(word):
+    own, library = word
+    texts = ["a%sb %s c" % (c, c) for c in map(chr, [0, *range(9, 14), *range(28, 33), 0x7F, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF])]
+    texts += ["ΑΣ Σ", "e \u0301x e\u0301", "\ufa6c x\ufacf", "İI", "a🙂b 𐐀c", "<|ENDOFTEXT|> <|endoftext|>a<|startoftext|>", "\n\n", ""]
+    for some in (texts, *[[t] for t in texts]):
+        ids, decoded = own.block(some)
+        for t, i, d in zip(some, ids, decoded, strict=True):
+            expected = library.encode(t, add_special_tokens=False).ids
+            assert np.frombuffer(i, "<i4").tolist() == expected and d == library.decode(expected, skip_special_tokens=False), ascii(t)
+
+
 def packed(df, capacity):
     rows = best_fit_packing(df, capacity).collect()
     bins: dict = {}
