@@ -16,7 +16,7 @@ import unicodedata
 import uuid
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import cache, lru_cache
+from functools import cache
 from itertools import accumulate, chain, count, repeat
 from typing import TYPE_CHECKING
 
@@ -35,6 +35,7 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N
 CACHE_ENTRIES = 700_000
 #: Bytes of text that are encoded together, but for single texts that are longer.
 BLOCK_BYTES = 8 << 20
+_TOKENIZERS: dict[tuple[str, str], WordTokenizer] = {}
 
 
 @cache
@@ -306,10 +307,12 @@ def blocks(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
         yield at, len(lengths)
 
 
-@lru_cache(maxsize=1)
 def word_tokenizer(definition: str, job: str) -> WordTokenizer:
     """A worker's tokenizer for a job: what it has learned serves the next task of that job, and no other job."""
-    return WordTokenizer(definition)
+    if (definition, job) not in _TOKENIZERS:
+        _TOKENIZERS.clear()  # before the next one is built: never two at once
+        _TOKENIZERS[definition, job] = WordTokenizer(definition)
+    return _TOKENIZERS[definition, job]
 
 
 def bpe_encode(docs: DataFrame, tokenizer_path: str, text_column: str = "text") -> DataFrame:
