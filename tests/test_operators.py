@@ -191,6 +191,12 @@ def test_linked_data(spark):
     assert "<name>A v B</name>" in L.to_xml(df).first().xml
 
 
+def test_sentences_lose_spaces_only(spark):
+    text = "0 is kept 0.  1 too. And 2 as well 1. X 2."
+    assert one(spark, s=X.sentences(F.lit(text))).s == ["0 is kept 0.  1 too.", "And 2 as well 1.", "X 2."]
+    assert one(spark, s=X.sentences(F.lit("  0 a. B 1  "))).s == ["0 a.", "B 1"]
+
+
 def test_tokens_and_phrases(spark):
     words = ["[2023]", "UKSC", "negligence", "2023/01/02", "...", "the", "Courts"]
     df = spark.createDataFrame([(w,) for w in words], "w string")
