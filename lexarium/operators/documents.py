@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +23,8 @@ DOCUMENT_CITATIONS = [
     r"(?:19|20)\d{2}\s+(?:SLT|SC|SCLR)\s+\d+",
 ]
 PREFACE_JUDGE = r"(?:Lord|Lady|Mr Justice|Mrs Justice|Sir|Dame)\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*"
-#: Paragraphs and characters of one that a section lists; descendants up to which a node is expanded.
-PARAGRAPHS, CUT, EXPANDED = 20, 500, 50
+#: Paragraphs and characters of one that a section lists.
+PARAGRAPHS, CUT = 20, 500
 
 
 def _parsed(text: str | None) -> ET.Element | None:
@@ -33,7 +34,7 @@ def _parsed(text: str | None) -> ET.Element | None:
         return None
     if root is not None:
         for e in root.iter():
-            if isinstance(e.tag, str):
+            if "}" in e.tag:
                 e.tag = e.tag.rpartition("}")[2]
     return root
 
@@ -85,28 +86,73 @@ def sections(xml_text: pd.Series) -> pd.Series:
     return pd.Series([[] if (r := _parsed(t)) is None else sections_of(r) for t in xml_text], dtype=object)
 
 
-def xml_nodes(docs: DataFrame, column: str = "xml") -> DataFrame:
-    """(doc_id, node_id, parent_id, depth, path, tag, attributes, text): the tree in document order; text is cut at 100
-    characters, and nodes with 50 descendants or more aren't expanded."""
+#: Nodes and characters of their texts that a batch of a node table holds at most, but for a single node's.
+BATCH_NODES, BATCH_CHARACTERS = 8192, 1 << 24
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def nodes_of(start: ET.Element, cut: int | None = None) -> Iterator[tuple]:
+    """(number, parent, depth, path, tag, attributes, text) of an element and all below it in document order. A text is a slice of
+    the text of the whole, so that each character is joined once."""
+    nodes, ends, pieces, length = [], {}, [], 0
+    todo = [(start, None, 0, "0001")]
+    while todo:
+        e, parent, depth, path = todo.pop()
+        if depth < 0:  # the end of the node whose number stands for the parent
+            ends[parent] = length
+            tail = e.tail if parent else None
+            if tail:
+                pieces.append(tail)
+                length += len(tail)
+            continue
+        number = len(nodes)
+        nodes.append((number, parent, depth, path, e.tag, e.attrib, length))
+        if e.text:
+            pieces.append(e.text)
+            length += len(e.text)
+        if len(e):
+            todo.append((e, number, -1, ""))
+            todo.extend(reversed([(kid, number, depth + 1, f"{path}.{i:04d}") for i, kid in enumerate(e, 1)]))
+        else:
+            ends[number] = length
+            if e.tail and number:
+                pieces.append(e.tail)
+                length += len(e.tail)
+    whole = "".join(pieces)
+    for number, *rest, at in nodes:
+        yield number, *rest, whole[at : ends[number]].strip()[:cut]
+
+
+def xml_nodes(docs: DataFrame, column: str = "xml", cut: int | None = None) -> DataFrame:
+    """(doc_id, node_id, parent_id, depth, path, tag, attributes, text): the whole tree, in order of doc_id and document order;
+    texts are whole too, or cut at so many characters."""
+    fields = ["node_id", "parent_id", "depth", "path", "tag", "attributes", "text"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string()]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch[column], strict=True):
-                root = _parsed(text)
-                start = root if root is None or root.tag in ("akomaNtoso", "judgment") else next((e for e in root.iter() if e.tag in ("akomaNtoso", "judgment")), None)
-                stack = [(start, None, 0, "0001")] if start is not None else []
-                number = 0
-                while stack:
-                    e, parent, depth, path = stack.pop()
-                    rows.append((doc_id, number, parent, depth, path, e.tag, dict(e.attrib), _text(e)[:100]))
-                    if sum(1 for _ in e.iter()) - 1 < EXPANDED:
-                        stack.extend(reversed([(kid, number, depth + 1, f"{path}.{i:04d}") for i, kid in enumerate(e, 1)]))
-                    number += 1
-            yield pd.DataFrame(rows, columns=["doc_id", "node_id", "parent_id", "depth", "path", "tag", "attributes", "text"]).astype({"parent_id": "Int64"})
+            ids, rows, places, size = batch.column("doc_id"), [], [], 0
 
+            def held() -> pa.RecordBatch:
+                columns = [pa.array([list(x.items()) for x in values] if n == "attributes" else values, kind) for n, kind, values in zip(fields, kinds, zip(*rows, strict=True), strict=True)]
+                return pa.RecordBatch.from_arrays([ids.take(pa.array(places)), *columns], ["doc_id", *fields])
+
+            for place, text in enumerate(batch.column(column)):
+                root = _parsed(text.as_py())
+                start = root if root is None or root.tag in ("akomaNtoso", "judgment") else next((e for e in root.iter() if e.tag in ("akomaNtoso", "judgment")), None)
+                for row in nodes_of(start, cut) if start is not None else ():
+                    rows.append(row)
+                    places.append(place)
+                    size += len(row[-1])
+                    if len(rows) >= BATCH_NODES or size >= BATCH_CHARACTERS:
+                        yield held()
+                        rows, places, size = [], [], 0
+            if rows:
+                yield held()
+
+    # Documents are put in order, not the nodes: those are more, and Spark would parse once more to sample them.
+    ordered = docs.select("doc_id", column).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", column).mapInPandas(walk, f"doc_id {id_type}, node_id long, parent_id long, depth int, path string, tag string, attributes map<string,string>, text string")
+    return ordered.mapInArrow(walk, f"doc_id {id_type}, node_id long, parent_id long, depth int, path string, tag string, attributes map<string,string>, text string")
 
 
 class _Elements(HTMLParser):
@@ -220,8 +266,8 @@ def preorder(nodes: DataFrame) -> DataFrame:
 
 
 def of_type(nodes: DataFrame, kind: str, column: str = "tag") -> DataFrame:
-    """The nodes of a type, roots included; order by path is depth first."""
-    return nodes.filter(F.col(column) == kind).orderBy("doc_id", "path")
+    """The nodes of a type, roots included, in the order of the nodes: that of xml_nodes is by document and depth first."""
+    return nodes.filter(F.col(column) == kind)
 
 
 def record(docs: DataFrame, column: str = "xml") -> DataFrame:

@@ -178,6 +178,27 @@ def test_documents(spark):
     assert one(spark, x=D.document_citations(F.lit("[2020] UKSC 1 and [2020] UKSC 1, 1999 SLT 5"))).x == ["1999 SLT 5", "[2020] UKSC 1"]
 
 
+def test_node_tables_are_whole(spark):
+    long = "word " * 40
+    text = f'<doc xmlns="u"><judgment>a{"".join(f"<paragraph id=\'p{i}\'>{i}<p>{long}</p> t</paragraph>" for i in range(60))}<!-- c -->b</judgment>tail</doc>'
+    df = spark.createDataFrame([(i, text) for i in (3, 1, 2)] + [(4, "<bad"), (5, None)], "doc_id int, xml string").repartition(3)
+    nodes = D.xml_nodes(df).collect()
+    assert len(nodes) == 3 * 121 and [(r.doc_id, r.path) for r in nodes] == sorted((r.doc_id, r.path) for r in nodes)
+    one_doc = [r for r in nodes if r.doc_id == 1]
+    assert [r.node_id for r in one_doc] == list(range(121)) and one_doc[0].tag == "judgment" and one_doc[0].parent_id is None
+    whole = "a" + "".join(f"{i}{long} t" for i in range(60)) + "b"
+    assert one_doc[0].text == whole and one_doc[1].text == f"0{long} t" and one_doc[2].text == long.strip()
+    assert one_doc[3].attributes == {"id": "p1"} and (one_doc[4].parent_id, one_doc[4].depth, one_doc[4].path) == (3, 2, "0001.0002.0001")
+    assert [r.path for r in D.of_type(D.xml_nodes(df), "paragraph").filter("doc_id = 2").collect()] == [f"0001.{i:04d}" for i in range(1, 61)]
+    assert max(len(r.text) for r in D.xml_nodes(df, cut=100).collect()) == 100
+
+
+def test_node_tables_parse_once_and_in_order(spark):
+    docs = spark.createDataFrame([(1, "<judgment><p/></judgment>")], "doc_id long, xml string")
+    plan = D.of_type(D.xml_nodes(docs), "p")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("rangepartitioning") and plan.count("rangepartitioning") == 1
+
+
 def test_linked_data(spark):
     fields = "uri string, name string, neutral_citation string, court string, court_name string, judgment_date string, judges array<string>, keywords array<string>, parties map<string,string>, citations array<struct<citation:string,paragraph:int>>, legislation_references array<struct<title:string,href:string,sections:array<string>>>"
     case = ("https://example.org/1", "A v B", "[2023] UKSC 15", "UKSC", "Supreme Court", "2023-05-06", ["Lord A"], ["Data Law"], {}, [("[2016] UKSC 8", 4)], None)
