@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
+import xml.parsers.expat
 import xml.sax
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -197,10 +198,19 @@ def document_citations(text: Column | str) -> Column:
     return F.array_sort(F.array_distinct(F.concat(*found)))
 
 
-def structure_errors(xml_text: Column | str) -> Column:
-    """What a judgment document lacks among judgment, meta and FRBRWork; the text must be well-formed."""
-    missing = [F.when(~F.xpath_boolean(c(xml_text), F.lit(f'boolean(//*[local-name()="{tag}"])')), F.lit(f"Missing {tag} element")) for tag in ("judgment", "meta", "FRBRWork")]
-    return F.filter(F.array(*missing), lambda e: e.isNotNull())
+def missing_elements(text: str) -> list[str]:
+    """What a judgment document lacks, by an event for each element and without a tree."""
+    lacking = {tag: f"Missing {tag} element" for tag in ("judgment", "meta", "FRBRWork")}
+    parser = xml.parsers.expat.ParserCreate()
+    parser.StartElementHandler = lambda name, _: lacking.pop(name.rpartition(":")[2], None)
+    parser.Parse(text, True)
+    return list(lacking.values())
+
+
+@vectorised("array<string>")
+def structure_errors(xml_text: pd.Series) -> pd.Series:
+    """What a judgment document lacks among judgment, meta and FRBRWork; the text must be well-formed, and one that is null or empty lacks nothing."""
+    return pd.Series([missing_elements(t) if t else [] for t in xml_text], dtype=object)
 
 
 class _Events(xml.sax.ContentHandler):

@@ -199,6 +199,13 @@ def test_node_tables_parse_once_and_in_order(spark):
     assert plan.index("MapInArrow") < plan.index("rangepartitioning") and plan.count("rangepartitioning") == 1
 
 
+def test_structure_is_read_without_a_tree(spark):
+    texts = ["<judgment><meta/></judgment>", '<x:judgment xmlns:x="u"><x:meta><FRBRWork/></x:meta></x:judgment>', "<a>judgment</a>", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, xml string").select("i", D.structure_errors("xml").alias("e"))
+    assert [r.e for r in df.orderBy("i").collect()] == [["Missing FRBRWork element"], [], ["Missing judgment element", "Missing meta element", "Missing FRBRWork element"], [], []]
+    assert "XPath" not in df._jdf.queryExecution().executedPlan().toString()  # which builds a tree for each element asked for
+
+
 def test_linked_data(spark):
     fields = "uri string, name string, neutral_citation string, court string, court_name string, judgment_date string, judges array<string>, keywords array<string>, parties map<string,string>, citations array<struct<citation:string,paragraph:int>>, legislation_references array<struct<title:string,href:string,sections:array<string>>>"
     case = ("https://example.org/1", "A v B", "[2023] UKSC 15", "UKSC", "Supreme Court", "2023-05-06", ["Lord A"], ["Data Law"], {}, [("[2016] UKSC 8", 4)], None)
