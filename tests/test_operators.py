@@ -178,6 +178,31 @@ def test_documents(spark):
     assert one(spark, x=D.document_citations(F.lit("[2020] UKSC 1 and [2020] UKSC 1, 1999 SLT 5"))).x == ["1999 SLT 5", "[2020] UKSC 1"]
 
 
+def test_rounds_shuffle_blocks_of_vertices_not_edges(spark, monkeypatch):
+    monkeypatch.setattr(G.Adjacency, "NARROWEST", 2)
+    monkeypatch.setattr(G.Adjacency, "BLOCKS", 4)
+    monkeypatch.setattr(G.Adjacency, "CELL", 16)
+    r = random.Random(5)
+    ids = [7 * i - 50 for i in range(23)]
+    pairs = [(r.choice(ids), r.choice([*ids[:15], 999])) for _ in range(150)] + [(ids[0], ids[1])] * 3 + [(-999, ids[2])]
+    edges, vertices = spark.createDataFrame(pairs, "src long, dst long").repartition(3), spark.createDataFrame([(i,) for i in ids], "id long")
+    graph = G.Adjacency(edges, vertices)
+    assert graph.vertices.count() == 3 and graph.n == 23
+    x = dict(zip(ids, range(1, 24), strict=True))
+    vector = graph.vertices.select("block", F.transform("ids", lambda i: ((i + 50) / 7 + 1).cast("double")).alias("values"))
+    for back in (False, True):
+        product = graph.product(vector, back)
+        assert "src" not in product._jdf.queryExecution().executedPlan().toString()
+        found = {i: v for row in product.join(graph.vertices, "block").collect() for i, v in zip(row.ids, row["values"])}
+        for i in ids:
+            assert found.get(i, 0.0) == sum(x[d if back else s] for s, d in pairs if (s if back else d) == i and s in x and d in x)
+    out, rank = {i: sum(s == i for s, _ in pairs) for i in ids}, dict.fromkeys(ids, 1 / 23)
+    for _ in range(2):
+        lost = sum(v for i, v in rank.items() if not out[i])
+        rank = {i: 0.15 / 23 + 0.85 * (sum(rank[s] / out[s] for s, d in pairs if d == i and s in rank) + lost / 23) for i in ids}
+    assert {q.id: round(q["rank"], 12) for q in G.pagerank(edges, vertices, iterations=2).collect()} == {i: round(v, 12) for i, v in rank.items()}
+
+
 def test_node_tables_are_whole(spark):
     long = "word " * 40
     text = f'<doc xmlns="u"><judgment>a{"".join(f"<paragraph id=\'p{i}\'>{i}<p>{long}</p> t</paragraph>" for i in range(60))}<!-- c -->b</judgment>tail</doc>'
