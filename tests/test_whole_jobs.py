@@ -34,6 +34,17 @@ def test_sentences(spark):
         assert found[d] == (len(parts), hashlib.sha256("\n".join(parts).encode()).hexdigest())
 
 
+def test_edges_are_dealt_out_before_they_are_made_distinct(spark):
+    lines = pd.read_parquet(f"{DATA}/lineitem.parquet", columns=["l_orderkey", "l_partkey"]).drop_duplicates()
+    pairs = lines.merge(lines, on="l_orderkey")
+    want = {(s, d) for s, d in zip(pairs.l_partkey_x, pairs.l_partkey_y, strict=True) if s > d}
+    edges = T.edges(spark, DATA)
+    found = [(r.src, r.dst) for r in edges.collect()]
+    assert len(found) == len(want) and set(found) == want
+    plan = T.edges(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning") == 2 and "Join" not in plan and "REPARTITION_BY_NUM" in plan
+
+
 def test_pagerank_and_hits_with_all_iterations(spark):
     edges = [(r.src, r.dst) for r in T.edges(spark, DATA).collect()]
     ids = [r.p_partkey for r in T.table(spark, DATA, "part").collect()]
