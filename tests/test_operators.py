@@ -203,6 +203,19 @@ def test_rounds_shuffle_blocks_of_vertices_not_edges(spark, monkeypatch):
     assert {q.id: round(q["rank"], 12) for q in G.pagerank(edges, vertices, iterations=2).collect()} == {i: round(v, 12) for i, v in rank.items()}
 
 
+def test_index_is_built_without_a_shuffle_of_words(spark, monkeypatch):
+    monkeypatch.setattr(S, "POSTINGS", 3)
+    monkeypatch.setattr(S, "WORDS", 5)
+    rows = [(1, "Café the cat, the CAT sat on a mat"), (2, None), (3, ""), (4, "a an the"), (5, "mat " * 9 + "cat"), (6, "été mat")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = lambda df: sorted((r.term, r.doc_id, r.tf, list(r.positions)) for r in df.collect())
+    want = plain(S.postings(docs))
+    assert plain(S.Index(docs).postings) == want and ("cat", 1, 2, [2, 4]) in want
+    assert "Exchange" not in S.row_postings(docs)._jdf.queryExecution().executedPlan().toString()
+    twice = docs.union(docs.filter("doc_id = 1"))
+    assert plain(S.Index(twice).postings) == plain(S.postings(twice)) and ("cat", 1, 4, [2, 2, 4, 4]) in plain(S.Index(twice).postings)
+
+
 def test_node_tables_are_whole(spark):
     long = "word " * 40
     text = f'<doc xmlns="u"><judgment>a{"".join(f"<paragraph id=\'p{i}\'>{i}<p>{long}</p> t</paragraph>" for i in range(60))}<!-- c -->b</judgment>tail</doc>'
