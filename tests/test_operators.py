@@ -216,6 +216,13 @@ def test_index_is_built_without_a_shuffle_of_words(spark, monkeypatch):
     assert plain(S.Index(twice).postings) == plain(S.postings(twice)) and ("cat", 1, 4, [2, 2, 4, 4]) in plain(S.Index(twice).postings)
 
 
+def test_similar_documents_that_tie_come_by_id(spark):
+    text = " ".join(f"word{i} " * (i % 5 + 1) for i in range(40))
+    docs = spark.createDataFrame([(100, text), (101, "other words here"), *[(i, " ".join([text] * ((7 * i) % 13 + 1))) for i in range(1, 25)]], "doc_id long, text string").repartition(4)
+    for found in (S.similar_to(docs, 100), S.similar(S.vectors(docs), 100)):
+        assert [(r.doc_id, round(r.similarity, 9)) for r in found.collect()] == [(i, 1.0) for i in range(1, 6)]
+
+
 def test_node_tables_are_whole(spark):
     long = "word " * 40
     text = f'<doc xmlns="u"><judgment>a{"".join(f"<paragraph id=\'p{i}\'>{i}<p>{long}</p> t</paragraph>" for i in range(60))}<!-- c -->b</judgment>tail</doc>'
