@@ -1,6 +1,7 @@
 """Operators on small literals: facts that can be derived by hand, and models in plain Python."""
 
 import datetime
+import math
 import random
 from collections import OrderedDict
 
@@ -223,6 +224,18 @@ def test_similar_documents_that_tie_come_by_id(spark):
         assert [(r.doc_id, round(r.similarity, 9)) for r in found.collect()] == [(i, 1.0) for i in range(1, 6)]
 
 
+def test_relevance_shuffles_words_of_documents_that_hold_a_term_only(spark):
+    rows = [(1, "breach of this contract contract"), (2, "no such term"), (3, "contract law of the land"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"date": F.lit(None).cast("date"), "cited": F.lit(0)})
+    score = lambda d: {r.doc_id: round(r.score, 12) for r in S.relevance(d, ["contract", "breach"], F.lit(1.0), F.current_date()).collect()}
+    found = score(docs)
+    idf = {"contract": math.log(6 / 4) + 1, "breach": math.log(6 / 3) + 1, "law": math.log(6 / 2) + 1, "land": math.log(6 / 2) + 1}
+    own = math.hypot(idf["contract"], idf["breach"])
+    want = {1: (idf["breach"] ** 2 + 2 * idf["contract"] ** 2) / math.hypot(idf["breach"], 2 * idf["contract"]) / own, 3: idf["contract"] ** 2 / math.hypot(idf["contract"], idf["law"], idf["land"]) / own}
+    assert found == {k: round(v, 12) for k, v in want.items()}
+    assert "MapInArrow" in S.relevance(docs, ["contract"], F.lit(1.0), F.current_date())._jdf.queryExecution().executedPlan().toString()
+
+
 def test_node_tables_are_whole(spark):
     long = "word " * 40
     text = f'<doc xmlns="u"><judgment>a{"".join(f"<paragraph id=\'p{i}\'>{i}<p>{long}</p> t</paragraph>" for i in range(60))}<!-- c -->b</judgment>tail</doc>'
